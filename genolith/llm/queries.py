@@ -11,6 +11,9 @@ from .shared import ship
 _MODULES = {
     "op2_decontaminate": ("decontamination", "OP2_SQL"),
     "op3_minimax_shards": ("sharding", None),
+    "op5_linked_secrets": ("secrets", None),
+    "op6_license_notices": ("licenses", None),
+    "op8_quality_rules": ("quality", None),
 }
 
 
