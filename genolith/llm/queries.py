@@ -13,7 +13,9 @@ _MODULES = {
     "op3_minimax_shards": ("sharding", None),
     "op5_linked_secrets": ("secrets", None),
     "op6_license_notices": ("licenses", None),
+    "op7_near_duplicates": ("neardup", "OP7_SQL"),
     "op8_quality_rules": ("quality", None),
+    "op10_pack": ("packing", None),
 }
 
 
