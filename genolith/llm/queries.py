@@ -15,6 +15,7 @@ _MODULES = {
     "op6_license_notices": ("licenses", None),
     "op7_near_duplicates": ("neardup", "OP7_SQL"),
     "op8_quality_rules": ("quality", None),
+    "op9_token_files": ("tokenfiles", None),
     "op10_pack": ("packing", None),
 }
 
