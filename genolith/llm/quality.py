@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .shared import settled
 from .text import NOT_SPACE, Words, covered, rows, window_hashes
@@ -215,8 +216,8 @@ def _scorer(models):
     return score
 
 
-def base_failed():
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(prefix: str = ""):
+    return (F.col(f"{prefix}n_words") < 20) | (100 * F.col(f"{prefix}n_repeat_words") > 30 * F.col(f"{prefix}n_words"))
 
 
 def measured(docs: DataFrame) -> tuple[DataFrame, dict[str, Model]]:
@@ -233,14 +234,15 @@ def bands(scored: DataFrame) -> list:
     return [r for r in quarters.collect() if r.n >= MIN_DOCS]
 
 
-def verdict(found: list):
+def verdict(found: list, prefix: str = ""):
     """Whether a document is kept, by its columns."""
     inside = F.lit(True)
     for r in found:
         between = (r.q[2] - r.q[0]) / 1.349
-        spread = F.sqrt(F.lit(between**2) + F.lit(CLUSTERING * r.v) / F.col("n_scored"))
-        inside = F.when(F.col("model") == r.model, (F.col("log_ppl") - F.lit(r.q[1])).between(-BAND_BELOW * spread, BAND_ABOVE * spread)).otherwise(inside)
-    return ~base_failed() & F.coalesce(inside, F.lit(True))
+        spread = F.sqrt(F.lit(between**2) + F.lit(CLUSTERING * r.v) / F.col(f"{prefix}n_scored"))
+        within = (F.col(f"{prefix}log_ppl") - F.lit(r.q[1])).between(-BAND_BELOW * spread, BAND_ABOVE * spread)
+        inside = F.when(F.col(f"{prefix}model") == r.model, within).otherwise(inside)
+    return ~base_failed(prefix) & F.coalesce(inside, F.lit(True))
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -249,5 +251,25 @@ def assess(docs: DataFrame) -> DataFrame:
     return scored.withColumns({"base_failed": base_failed(), "kept": verdict(bands(scored))})
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; each is scored once more, against the bands of all."""
+    scored, models = measured(docs)
+    found = bands(settled(scored))
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    names = docs.columns
+    added = {"n_words": LongType(), "n_repeat_words": LongType(), "model": StringType(), "n_scored": LongType(), "log_ppl": DoubleType()}
+
+    def score_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(_scorer(held)(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(names.index("text")), batch.column(names.index("lang")).cast(pa.string())], ["doc_id", "text", "lang"])])))
+            table = pa.Table.from_batches(out).combine_chunks() if out else None
+            if table is not None:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(table.column(c).chunk(0) for c in added)], [*names, *(f"__{c}" for c in added)])
+
+    schema = StructType([*docs.schema.fields, *(StructField(f"__{c}", t) for c, t in added.items())])
+    beside = docs.mapInArrow(score_beside, schema)
+    return beside.where(verdict(found, "__")).select(*names)
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return assess(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_scored", "variance", "model")

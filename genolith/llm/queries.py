@@ -9,6 +9,7 @@ from .shared import ship
 
 #: query: (module, name of its SQL if any)
 _MODULES = {
+    "op1_personal_data": ("pii", None),
     "op2_decontaminate": ("decontamination", "OP2_SQL"),
     "op3_minimax_shards": ("sharding", None),
     "op5_linked_secrets": ("secrets", None),
