@@ -9,8 +9,10 @@ from unborrowed registers, corrected for chance collisions of compressed registe
 lies six standard deviations below the threshold; what remains is confirmed on the full sets.
 
 No bucket is expanded into all its pairs. Every member is first compared with the bucket's smallest member; linked
-ones form components. Only members of other components are then compared, with those outside their own component, so
-that no link between components is lost. A class of any number of copies is one row.
+ones form components. Buckets that still hold several components are the rest: the documents that share such buckets
+are gathered in clusters, a cluster is dealt into blocks of a bounded number of shingles, and each pair of blocks
+counts common shingles from an inverted index and tells only links between components. So no link is lost, no pair of
+documents is ever a row, and no task holds more than two blocks. A class of any number of copies is one row.
 
 Defined cases. Null, empty or wordless text: an empty set, linked with nothing, a component of its own, kept. One
 word: the word is the one shingle. Null doc_id: the row gets the component of its class, which is null where no row of
@@ -35,6 +37,10 @@ from .text import NOT_SPACE, Words, mix, rows, window_hashes
 
 BUCKETS, MANTISSA = 256, 10
 BANDS, ROWS = 51, 5
+#: Shingles of a block in which the documents of crowded buckets are compared.
+BLOCK_SHINGLES = 1_000_000
+#: Document ids that may be broadcast to pick the texts of candidates; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Percent of the union that two sets share at least.
 THRESHOLD = 80
 #: Standard deviations by which an estimate may fall short of the threshold.
@@ -148,13 +154,86 @@ def enough(a: Column, b: Column, shared: Column) -> Column:
     return 100 * shared >= THRESHOLD * (a + b - shared)
 
 
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """cid, items: the full sets of the documents whose doc_id is among ids."""
+    ids = settled(ids)
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_sets, "cid long, items array<long>")
+
+
+def cross_links(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> list[tuple[int, int]]:
+    """Links between documents of different components, enough to join all components that any link joins.
+
+    items: the sets one after the other; side: whether a document is of the first (0) or second (1) block. If both
+    occur only pairs across are compared.
+    """
+    _, shingle = np.unique(items, return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(shingle, kind="stable")
+    holders = owner[order]
+    count = np.bincount(shingle)
+    first = np.concatenate([[0], np.cumsum(count)])
+    ends = np.cumsum(sizes)
+    names, comp = np.unique(comps, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    out = []
+    across = 0 < int(side.sum()) < len(side)
+    most = int(np.argmax(np.bincount(comp)))  # pairs within the largest component need no look
+    for x in np.flatnonzero(comp != most):
+        own = shingle[ends[x] - sizes[x] : ends[x]]
+        n = count[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(holders[at], minlength=len(ids))
+        good = 100 * shared >= THRESHOLD * (sizes[x] + sizes - shared)
+        good &= comp != comp[x]
+        if across:
+            good &= side != side[x]
+        for y in np.flatnonzero(good):
+            a, b = root(int(comp[x])), root(int(comp[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def crowded_links(at: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links (a, b) between components that meet in a bucket of three or more. at: key, cid, hub, comp."""
+    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
+    near = settled(at.join(mixed, "key", "left_semi").select("cid", "hub", "comp").distinct())
+    if not near.limit(1).count():
+        return None
+    clusters = components(near.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct())
+    member = near.groupBy("cid").agg(F.first("comp").alias("comp")).join(clusters.select(F.col("node").alias("cid"), F.col("comp").alias("cluster")), "cid").join(reps.select("cid", "n"), "cid")
+    member = settled(member)
+    blocks = member.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.countDistinct("comp").alias("comps")).where("comps > 1").drop("comps")
+    dealt = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sets = sets_of(docs, dealt.select(F.col("cid").alias("doc_id")).distinct())
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = dealt.join(sets, "cid").withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp", "items")
+
+    def compare(frame):
+        import pandas as pd
+
+        items = frame["items"].tolist()
+        found = cross_links(frame["cid"].to_numpy(), frame["comp"].to_numpy(), (frame["block"] != frame["i"]).to_numpy().astype(int), np.array([len(x) for x in items]), np.concatenate(items))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return settled(paired.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of class representatives whose full sets are similar enough."""
     side = lambda c: reps.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"regs{c}"))
     could = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.col("na") >= THRESHOLD * F.col("nb")) & (100 * F.col("nb") >= THRESHOLD * F.col("na")))
     likely = settled(could.select("a", "b", "na", "nb", "regsa", "regsb").mapInArrow(_likely, "a long, b long, na long, nb long").distinct())
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "cid long, items array<long>")
+    sets = sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     one = likely.join(sets.withColumnsRenamed({"cid": "a", "items": "ia"}), "a")
     two = one.join(sets.withColumnsRenamed({"cid": "b", "items": "ib"}), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
@@ -171,14 +250,10 @@ def labelled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     crowded = settled(bands.join(hubs, "key").select("key", "cid", "hub"))
     links = verified(crowded.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), reps, source)
     comps = components(links)
-    for _ in range(1):
-        at = crowded.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
-        at = settled(at.select("key", "cid", "hub", F.coalesce("comp", "cid").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")).distinct())
-        outside = at.where("comp <> hub_comp").select("key", F.col("cid").alias("x"), F.col("comp").alias("xc"))
-        rest = outside.join(at.where("cid <> hub").select("key", F.col("cid").alias("y"), F.col("comp").alias("yc")), "key").where("xc <> yc")
-        more = verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), reps, source)
-        if more.limit(1).count():
-            comps = components(links.unionByName(more))
+    at = crowded.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("key", "cid", "hub", F.coalesce("comp", "cid").alias("comp")).distinct()
+    more = crowded_links(settled(at), reps, source)
+    if more is not None and more.limit(1).count():
+        comps = components(links.unionByName(more))
     of = reps.select("cls", "cid").join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("cls", F.coalesce("comp", "cid").alias("comp"))
     component = F.coalesce("comp", "doc_id")
     return signed.select("doc_id", "n_shingles", "cls").join(of, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
