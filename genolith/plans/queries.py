@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotations, cohort as C, combine, concord, family, popgen, predicates as P, ranges, relatedness
+from ..operators import annotations, cohort as C, combine, concord, family, popgen, ranges, relatedness, scope
 from .fixtures import COHORT_SQL, Cohort, cohort
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,3 +539,24 @@ def merged_samples(c: Cohort) -> DataFrame:
 def load_replaces(c: Cohort) -> DataFrame:
     new = c.variants.where("pos % 2000 = 0").select(*C.SITE, F.lit(0.5).alias("af"), F.lit(None).cast("double").alias("af_grpmax"))
     return annotations.latest_wins(c.gnomad_af, new, C.SITE)
+
+
+# --- scopes
+
+SCOPE_SQL = "EXISTS (SELECT 1 FROM genes g WHERE g.chrom = v.chrom AND v.pos BETWEEN greatest(g.start_pos - 5000, 1) AND g.end_pos + 5000 AND CAST(substr(g.gene_symbol, 2) AS INT) % 7 = 0)"
+
+
+def _scope(c: Cohort) -> DataFrame:
+    none = c.genes.select(F.lit("").alias("alias"), F.lit("alias").alias("kind"), F.col("gene_symbol").alias("symbol")).limit(0)
+    tokens = c.genes.where(F.substr("gene_symbol", F.lit(2)).cast("int") % 7 == 0).select(F.lower("gene_symbol").alias("token"))
+    return scope.of_genes(tokens, c.genes, none, 5000)
+
+
+@query(f"SELECT v.chrom, v.pos, v.ref, v.alt FROM variants v WHERE {SCOPE_SQL}")
+def scope_included(c: Cohort) -> DataFrame:
+    return scope.within(c.variants, _scope(c)).select(*C.SITE)
+
+
+@query(f"SELECT v.chrom, v.pos, v.ref, v.alt FROM variants v WHERE NOT {SCOPE_SQL}")
+def scope_excluded(c: Cohort) -> DataFrame:
+    return scope.within(c.variants, _scope(c), exclude=True).select(*C.SITE)
