@@ -12,6 +12,7 @@ _MODULES = {
     "op1_personal_data": ("pii", None),
     "op2_decontaminate": ("decontamination", "OP2_SQL"),
     "op3_minimax_shards": ("sharding", None),
+    "op4_dated_lists": ("urlfilters", "OP4_SQL"),
     "op5_linked_secrets": ("secrets", None),
     "op6_license_notices": ("licenses", None),
     "op7_near_duplicates": ("neardup", "OP7_SQL"),
