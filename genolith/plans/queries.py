@@ -247,10 +247,11 @@ for _name in ("denovo", "recessive", "dominant"):
 
 @query(f"""{TRIO_SQL} SELECT proband, gene_symbol, count(*) FILTER (WHERE f_gt > 0) AS paternal, count(*) FILTER (WHERE f_gt = 0) AS maternal,
  array_to_string(list_sort(list(concat_ws(':', chrom, pos, ref, alt, CASE WHEN f_gt > 0 THEN 'paternal' ELSE 'maternal' END))), ',') AS variants
-FROM (SELECT trio.*, gene_symbol FROM trio JOIN genes ON trio.chrom = genes.chrom AND pos BETWEEN start_pos AND end_pos WHERE ({family.MODELS['dominant']}) AND {GATES_SQL})
+FROM (SELECT trio.*, gene_symbol FROM trio JOIN genes ON trio.chrom = genes.chrom AND pos BETWEEN start_pos - 300000 AND end_pos + 300000 WHERE ({family.MODELS['dominant']}) AND (info_AF IS NULL OR info_AF <= 0.02 + 1e-7))
 GROUP BY proband, gene_symbol HAVING count(*) FILTER (WHERE f_gt > 0) > 0 AND count(*) FILTER (WHERE f_gt = 0) > 0""")
 def compound_het(c: Cohort) -> DataFrame:
-    return family.compound_het(_rows(c), c.genes, **LIMITS)
+    wide = c.genes.select("gene_symbol", "chrom", (F.col("start_pos") - 300_000).alias("start_pos"), (F.col("end_pos") + 300_000).alias("end_pos"))
+    return family.compound_het(_rows(c), wide, min_gq=0, min_dp=0, min_ab=None, max_af=0.02)
 
 
 @query(f"""{TRIO_SQL} SELECT proband, chrom, pos, ref, alt, coalesce(af_grpmax, af) AS popmax FROM trio LEFT JOIN gnomad_af USING (chrom, pos, ref, alt)
