@@ -28,7 +28,7 @@ from .tokens import Encoder, default_path
 
 END = 2
 #: Ids of a segment: it is closed once it has as many.
-SEGMENT = 4_000_000
+SEGMENT = 8_000_000
 
 
 def _writer(path: str, end: int, most: int):
