@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with pointer jumping; nothing is gathered on the driver."""
+"""Connected components of an edge table, by hooking to smaller neighbours and contraction; nothing is gathered on the driver."""
 
 from __future__ import annotations
 
@@ -11,17 +11,25 @@ from .shared import settled
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b), comp being the smallest node that it reaches.
 
-    Each round takes the smallest label around a node, then the label of that label, so that chains shorten by half;
-    it ends when no label changes. Sums are combined before the shuffle, so a node of many edges costs one row a task.
+    Each round hooks every node to its smallest neighbour if that is smaller, follows hooks once more, and replaces
+    the ends of edges by their hooks; edges within one node go, so that what a round reads shrinks with what the last
+    one joined. Smallest neighbours are combined before the shuffle, so a node of many edges costs one row a task. At
+    the end the rounds' hooks are composed.
     """
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        taken = labels.join(around, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jumped = taken.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp").select("node", "old", F.least("comp", "further").alias("comp"))
-        after = settled(jumped)
-        changed = after.where("old <> comp").limit(1).count()
-        labels = after.select("node", "comp")
-        if not changed:
-            return labels
+    left = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    rounds = []
+    while left.limit(1).count():
+        near = left.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("to"))).groupBy("node").agg(F.min("to").alias("to"))
+        near = settled(near)
+        on = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        hooks = settled(near.join(on, "to").select("node", F.col("further").alias("to")))
+        rounds.append(hooks)
+        ends = left.join(hooks.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(hooks.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        left = settled(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
+    out = rounds[-1].select("node", F.col("to").alias("comp"))
+    for hooks in reversed(rounds[:-1]):
+        later = out.select(F.col("node").alias("to"), F.col("comp").alias("last"))
+        out = hooks.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("comp"))
+    return settled(out)
