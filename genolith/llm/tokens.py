@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import json
 import re
-import sys
+import struct
 import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces, and words between blanks, that a worker keeps: some 100 MB each.
-CACHE = 500_000
+#: Words and pieces that a worker keeps, some 200 MB.
+CACHE = 1_000_000
 
 
 def default_path() -> str:
@@ -39,26 +39,19 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAMES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-class _Pieces(dict):
-    def __init__(self, model):
-        self.merge = model.tokenize
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece if piece.isascii() else "".join(_BYTE_NAMES[b] for b in piece.encode())
-        ids = np.array([t.id for t in self.merge(raw)], "<u4").tobytes()
-        if len(self) < CACHE:
-            self[sys.intern(piece)] = ids
-        return ids
-
-
 class _Words(dict):
-    """Ids of whole words between blanks; no piece reaches over a blank."""
+    """Ids of words between blanks and of their pieces; no piece reaches over a blank, and a piece alone is its own word."""
 
-    def __init__(self, pieces: _Pieces):
-        self.pieces = pieces
+    def __init__(self, model):
+        self.merge = model.tokenize
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word)))
+        pieces = () if word.isalpha() else _SPLIT.findall(word)
+        if len(pieces) > 1:
+            ids = b"".join(map(self.__getitem__, pieces))
+        else:
+            raw = word if word.isascii() else "".join(_BYTE_NAMES[b] for b in word.encode())
+            ids = struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self.merge(raw)]) else b""
         if len(self) < CACHE:
             self[word] = ids
         return ids
@@ -73,7 +66,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.words = _Words(_Pieces(self.tokenizer.model)) if self._as_expected(spec) else None
+        self.words = _Words(self.tokenizer.model) if self._as_expected(spec) else None
 
     @staticmethod
     def _as_expected(spec: dict) -> bool:
