@@ -9,8 +9,8 @@ model is kept and broadcast as sorted arrays of hashed n-grams (a perfect hash:
 probabilities and back-off weights; a worker spreads them into a table for constant-time lookups.
 
 A document's log perplexity is judged against its language's band: the median over all documents of the language,
-less BAND_BELOW and plus BAND_ABOVE times a spread that has a part for differences between documents (from the quartiles) and a part
-that shrinks with the document's length. Documents outside the band are rejected, and so are those that fail the base
+and on either side BAND times the deviation of the documents on that side, told by their quartile. Deviations are in a
+spread that has a part for differences between documents and a part that shrinks with the document's length. Documents outside the band are rejected, and so are those that fail the base
 rules (fewer than 20 words, or over 30 % of words in repeated 8-word windows).
 
 Defined cases. Null, empty or wordless text: all counts 0, base_failed, not kept, no perplexity. Null language: a
@@ -36,8 +36,8 @@ SYMBOLS, SPACE_SIZE = 1 << BITS, 1 << (ORDER * BITS)
 #: A language needs one of so many counted characters to have its own model.
 OWN_SHARE = 20
 MIN_DOCS = 30
-#: How far a band reaches below and above its middle, in spreads: mixed languages raise perplexity in sound documents, few things lower it.
-BAND_BELOW, BAND_ABOVE = 4.0, 10.0
+#: How far a band reaches on either side of its middle, in the deviation of sound documents on that side.
+BAND = 6.0
 REPEAT_WINDOW = 8
 #: How much the log probabilities of neighbouring characters move together: their sum varies so many times more.
 CLUSTERING = 3.0
@@ -227,28 +227,39 @@ def measured(docs: DataFrame) -> tuple[DataFrame, dict[str, Model]]:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).mapInArrow(_scorer(held), SCORES), models
 
 
-def bands(scored: DataFrame) -> list:
-    """For each model (21 at most): the middle of its band, the spread between documents, and the variance of a character's log probability."""
-    own = scored.where(~base_failed())
-    quarters = own.groupBy("model").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10000).alias("q"), F.percentile_approx("variance", 0.5, 10000).alias("v"), F.count("*").alias("n"))
-    return [r for r in quarters.collect() if r.n >= MIN_DOCS]
+def _deviation(found: str, prefix: str = ""):
+    """How far a document lies from the middle of its band, in the spread expected at its length."""
+    between = (F.col(f"{found}.q")[2] - F.col(f"{found}.q")[0]) / 1.349
+    spread = F.sqrt(between * between + F.lit(CLUSTERING) * F.col(f"{found}.v") / F.col(f"{prefix}n_scored"))
+    return F.when(spread > 0, (F.col(f"{prefix}log_ppl") - F.col(f"{found}.q")[1]) / spread).otherwise(F.lit(0.0))
 
 
-def verdict(found: list, prefix: str = ""):
-    """Whether a document is kept, by its columns."""
-    inside = F.lit(True)
-    for r in found:
-        between = (r.q[2] - r.q[0]) / 1.349
-        spread = F.sqrt(F.lit(between**2) + F.lit(CLUSTERING * r.v) / F.col(f"{prefix}n_scored"))
-        within = (F.col(f"{prefix}log_ppl") - F.lit(r.q[1])).between(-BAND_BELOW * spread, BAND_ABOVE * spread)
-        inside = F.when(F.col(f"{prefix}model") == r.model, within).otherwise(inside)
-    return ~base_failed(prefix) & F.coalesce(inside, F.lit(True))
+def bands(scored: DataFrame) -> DataFrame:
+    """For each model: band, with the middle, what the spread is made of, and the edges.
+
+    The edges are calibrated on the deviations of all documents that pass the base rules: BAND times the standard
+    deviation that the quartile on that side tells. Up to a quarter of outliers on a side can't move it far.
+    """
+    own = scored.where(~base_failed()).where("log_ppl is not null")
+    first = own.groupBy("model").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10000).alias("q"), F.percentile_approx("variance", 0.5, 10000).alias("v"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    first = settled(first.select("model", F.struct("q", "v").alias("band")))
+    second = own.join(F.broadcast(first), "model").groupBy("model").agg(F.first("band").alias("band"), F.percentile_approx(_deviation("band"), [0.25, 0.5, 0.75], 10000).alias("z"))
+    z = F.col("z")
+    below, above = z[1] - F.lit(BAND / 0.6745) * (z[1] - z[0]), z[1] + F.lit(BAND / 0.6745) * (z[2] - z[1])
+    return settled(second.select("model", F.struct("band.q", "band.v", below.alias("below"), above.alias("above")).alias("__band")))
+
+
+def judged(scored: DataFrame, found: DataFrame, prefix: str = "") -> DataFrame:
+    """scored with __kept: whether a document passes the base rules and lies in its band."""
+    beside = scored.join(F.broadcast(found.withColumnRenamed("model", "__of")), F.col(f"{prefix}model") == F.col("__of"), "left")
+    inside = _deviation("__band", prefix).between(F.col("__band.below"), F.col("__band.above"))
+    return beside.withColumn("__kept", ~base_failed(prefix) & F.coalesce(inside | F.col("__band").isNull(), F.lit(True))).drop("__of", "__band")
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """A row for each document: counts, model, log_ppl, base_failed and kept."""
     scored = settled(measured(docs)[0])
-    return scored.withColumns({"base_failed": base_failed(), "kept": verdict(bands(scored))})
+    return judged(scored, bands(scored)).withColumn("base_failed", base_failed()).withColumnRenamed("__kept", "kept")
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -268,7 +279,7 @@ def keep(docs: DataFrame) -> DataFrame:
 
     schema = StructType([*docs.schema.fields, *(StructField(f"__{c}", t) for c, t in added.items())])
     beside = docs.mapInArrow(score_beside, schema)
-    return beside.where(verdict(found, "__")).select(*names)
+    return judged(beside, found, "__").where("__kept").select(*names)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

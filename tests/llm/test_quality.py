@@ -78,6 +78,17 @@ def test_held_out_labels(spark):
     assert sum(not r.kept for r in bad) >= 0.3 * len(bad)
 
 
+def test_bands_reject_by_themselves(spark):
+    """Of labelled documents that pass the base rules: surprising bad ones go by the upper band, sound ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = Q.assess(docs).where("not base_failed").join(docs.select("doc_id", "lang"), "doc_id").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "left").collect()
+    middle = {lang: np.median([r.log_ppl for r in rows if r.lang == lang]) for lang in {r.lang for r in rows}}
+    good, bad = ([r for r in rows if r.quality == k] for k in (1, 0))
+    above = [r for r in bad if not r.kept and r.log_ppl > middle[r.lang]]
+    assert sum(not r.kept for r in bad) >= 0.4 * len(bad) and len(above) >= 0.1 * len(bad)
+    assert sum(r.kept for r in good) >= 0.99 * len(good)
+
+
 def test_odd_rows(spark, odd):
     rows = Q.assess(odd).collect()
     assert len(rows) == odd.count() and all(r.base_failed and not r.kept for r in rows)
