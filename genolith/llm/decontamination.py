@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settled
 from .text import ALNUM, LOWER, Words, covered, rows, window_hashes
 
 WINDOW = 13
@@ -108,13 +109,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     weight = sized.agg(F.sum(F.octet_length("t")).alias("b"), F.max(F.octet_length("t")).alias("m")).first()
     blocks = max(1, -(-(weight.b or 0) // max_windows))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.monotonically_increasing_id() if blocks > 1 else F.lit(0)).cast("long").alias("row_key"))
+    found = _merged(source, sized, blocks)
+    return found.drop("row_key")
+
+
+def _merged(source: DataFrame, sized: DataFrame, blocks: int) -> DataFrame:
+    """The hits of all blocks of a benchmark (item, t) in source (doc_id, text, row_key), merged by row_key."""
     results = []
     for k in range(blocks):
         part = sized.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else sized
-        tests = docs.sparkSession.sparkContext.broadcast(TestSet([(r.item, r.t) for r in part.collect()]))
+        tests = source.sparkSession.sparkContext.broadcast(TestSet([(r.item, r.t) for r in part.collect()]))
         results.append(source.mapInArrow(_scanner(tests, "doc_id", "text"), SCHEMA))
     if blocks == 1:
-        return results[0].drop("row_key")
+        return results[0]
     every = results[0]
     for more in results[1:]:
         every = every.unionByName(more)
@@ -128,7 +135,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
             F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["hit_starts"].alias("hit_starts"), F.greatest(F.element_at(out, -1)["hit_ends"], x["hit_ends"]).alias("hit_ends")))),
         ).otherwise(F.concat(out, F.array(x))),
     )
-    return runs.withColumn("runs", merged).select("doc_id", "n_words", F.col("runs.hit_starts").alias("hit_starts"), F.col("runs.hit_ends").alias("hit_ends"), "items")
+    return runs.withColumn("runs", merged).select("doc_id", "row_key", "n_words", F.col("runs.hit_starts").alias("hit_starts"), F.col("runs.hit_ends").alias("hit_ends"), "items")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -137,28 +144,46 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _cut(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
+    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
+    pieces, last = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        pieces.append(raw[last : words.starts[s]])
+        last = words.ends[e - 1]
+    return b"".join([*pieces, raw[last:]])
+
+
+def _without(batch: pa.RecordBatch, at: int, found: Iterator[tuple[int, list, list]]) -> pa.RecordBatch:
+    """The batch without contaminated rows, hits cut from column `at`; found has the words and hit runs of each row."""
+    texts, keep = batch.column(at).to_pylist(), []
+    for k, (n, starts, ends) in enumerate(found):
+        hit = sum(ends) - sum(starts)
+        keep.append(not (hit and 20 * hit >= n))
+        if hit and keep[-1]:
+            texts[k] = _cut(texts[k].encode(), starts, ends).decode()
+    columns = list(batch.columns)
+    columns[at] = pa.array(texts, batch.schema.field(at).type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+
 def _cutter(test_set, text: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             keyed = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], ["doc_id", "row_key", "text"])
-            texts, keep, base = batch.column(at).to_pylist(), [], 0
-            for out in _scanner(test_set, "doc_id", "text")(iter([keyed])):
-                for k, (n, starts, ends) in enumerate(zip(*(out.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                    hit = sum(ends) - sum(starts)
-                    keep.append(not (hit and 20 * hit >= n))
-                    if hit and keep[-1]:
-                        raw = texts[base + k].encode()
-                        words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
-                        pieces, last = [], 0
-                        for s, e in zip(starts, ends, strict=True):
-                            pieces.append(raw[last : words.starts[s]])
-                            last = words.ends[e - 1]
-                        texts[base + k] = b"".join([*pieces, raw[last:]]).decode()
-                base += out.num_rows
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            yield _without(batch, at, (x for out in _scanner(test_set, "doc_id", "text")(iter([keyed])) for x in zip(*(out.column(c).to_pylist() for c in (2, 3, 4)), strict=True)))
+
+    return cut
+
+
+def _joined_cutter(text: str, columns: int):
+    """Cuts by the last three columns: words and merged runs, null where a row has no hit."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays(batch.columns[:columns], schema=pa.schema([batch.schema.field(i) for i in range(columns)]))
+            found = zip(*(batch.column(columns + c).to_pylist() for c in range(3)), strict=True)
+            yield _without(own, own.schema.get_field_index(text), ((n or 0, starts or [], ends or []) for n, starts, ends in found))
 
     return cut
 
@@ -166,15 +191,20 @@ def _cutter(test_set, text: str):
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents without contaminated ones; hit passages of the others are cut from their text. Columns are kept.
 
-    A benchmark beyond max_windows is taken in blocks, one after the other, each on what the former left.
+    A benchmark beyond max_windows is taken in blocks, all on the original text: their hits are merged by row, which is
+    then judged once and cut once. The rows are written first, so that every block finds them under the same keys.
     """
     sized = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t"))
     blocks = max(1, -(-(sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // max_windows))
-    for k in range(blocks):
-        part = sized.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else sized
-        tests = docs.sparkSession.sparkContext.broadcast(TestSet([(r.item, r.t) for r in part.collect()]))
-        docs = docs.mapInArrow(_cutter(tests, text), docs.schema)
-    return docs
+    if blocks == 1:
+        tests = docs.sparkSession.sparkContext.broadcast(TestSet([(r.item, r.t) for r in sized.collect()]))
+        return docs.mapInArrow(_cutter(tests, text), docs.schema)
+    keyed = settled(docs.withColumn("__row", F.monotonically_increasing_id()))
+    source = keyed.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("__row").alias("row_key"))
+    found = _merged(source, sized, blocks).where(F.size("hit_starts") > 0)
+    found = found.select(F.col("row_key").alias("__row"), F.col("n_words").alias("__n"), F.col("hit_starts").alias("__starts"), F.col("hit_ends").alias("__ends"))
+    beside = keyed.join(found, "__row", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__n", "__starts", "__ends")
+    return beside.mapInArrow(_joined_cutter(text, len(docs.columns)), docs.schema)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

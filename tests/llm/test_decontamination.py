@@ -49,3 +49,17 @@ def test_remove(spark, odd):
     empty = spark.createDataFrame([], "item_id string, text string")
     assert D.remove(odd, empty).count() == odd.count() == D.scan(odd, empty).count()
     assert D.scan(odd.limit(0), empty).count() == 0
+
+
+def test_remove_in_blocks_equals_one_block(spark):
+    filler = [f"c{i}" for i in range(400)]
+    a, b, c = ([f"{x}{i}" for i in range(14)] for x in "abz")
+    over = a[7:] + b[:7]  # overlaps both neighbours
+    texts = [
+        " ".join([*filler[:186], *a, *filler[186:], *b]),  # 3.4 % by each of two items
+        " ".join([*filler, *a, *b[:7], *filler[:100]]), " ".join([*filler, *c]), " ".join(filler), None, "", " ".join([*filler, *a, *b, *filler]),
+    ]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*texts, texts[1]])], "doc_id long, text string, row_key string")
+    bench = spark.createDataFrame([(str(i), " ".join(x)) for i, x in enumerate((a, b, c, over))], "item_id string, text string")
+    one, many = (sorted((r.doc_id, r.text or "", r.row_key) for r in D.remove(docs, bench, max_windows=most).collect()) for most in (D.MAX_WINDOWS, 20))
+    assert one == many and 0 not in {r[0] for r in many} and {2, 3, 4, 5} <= {r[0] for r in many}
