@@ -28,7 +28,7 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]{14,}", 0, 18, "ident"),
     "hex": (r"[0-9a-f]{16,}+", 0, 16, "secret"),
     "ident": (r"""(?<![A-Za-z0-9_])(?=[uUlLaAcC])(?i:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20{0,9}[:=]\x20{0,9}["']?([A-Za-z0-9@._-]{3,64})""", 1, 3, "weak_ident"),
-    "weak": (r"""(?<![A-Za-z0-9_])(?=[pPsStTcCaA])(?i:(?:pass|pwd|passphrase|private_?key|credentials?|auth)["']?\x20{0,9}[:=]\x20{0,9}["']?[^\s"'<>]{6,128}|(?:password|passwd|secret|token|api_?key)["']?\x20{0,9}[:=]\x20{0,9}["']?[^\s"'<>]{4,11}(?![^\s"'<>]))""", 0, 6, "weak_secret"),
+    "weak": (r"""(?<![A-Za-z0-9_])(?=[pPsStTcCaA])(?i:(?:pass|pwd|passphrase|private_?key|credentials?|auth)["']?\x20{0,9}[:=]\x20{0,9}["']?[^\s"'<>]{6,}+|(?:password|passwd|secret|token|api_?key)["']?\x20{0,9}[:=]\x20{0,9}["']?[^\s"'<>]{4,}+)""", 0, 6, "weak_secret"),
     "random": (r"[A-Za-z0-9+/]{32,}+={0,2}", 0, 32, "weak_secret"),
     "endpoint": (r"(?i:(?<![A-Za-z0-9])(?:https?|ftp|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,512})", 0, 3, "endpoint"),
 }
@@ -91,6 +91,10 @@ def linked_parts(rows: DataFrame, text: str, scope: int = SCOPE) -> DataFrame:
     before = Window.partitionBy("__key", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.col("len")).over(before)
     placed = parts.withColumn("end", end).where("passes").select("__key", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
+    # a loose password that an assignment covers is that assignment
+    earlier = Window.partitionBy("__key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    covered = F.coalesce(F.max(F.when(F.col("kind") == ORDER["assign"], F.col("end"))).over(earlier) >= F.col("end"), F.lit(False))
+    placed = placed.withColumn("covered", covered).where((F.col("kind") != ORDER["weak"]) | ~F.col("covered")).drop("covered")
     role = F.element_at(F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(ORDER[k]), F.lit(v[3])))), F.col("kind"))
     reach = Window.partitionBy("__key").orderBy("start").rangeBetween(-scope, scope)
 
