@@ -6,8 +6,9 @@ endpoints) are reported only when a complementary part stands in the same scope,
 identifier needs a secret, a weak secret needs an identifier or an endpoint, an endpoint needs a secret.
 
 Matches have no positions in SQL; here the text between the matches (split by the same pattern) and the matches
-themselves give them, as a running sum of lengths. The interval join of parts is a range window over each document's
-parts in order of position, which counts the complementary parts in reach without making a row for each pair.
+themselves give them, as a running sum of lengths. The interval join of parts measures the gap between their ends and
+starts: running windows over each document's parts, forward and backward, tell the farthest end and the first start of
+the complementary parts without making a row for each pair.
 
 Defined cases. Null or empty text: no spans. Null doc_id: rows are told apart by their text. Repeated rows (same
 doc_id and text) get the same spans each. Texts of any length are scanned whole; their parts are rows, not one array.
@@ -96,10 +97,13 @@ def linked_parts(rows: DataFrame, text: str, scope: int = SCOPE) -> DataFrame:
     covered = F.coalesce(F.max(F.when(F.col("kind") == ORDER["assign"], F.col("end"))).over(earlier) >= F.col("end"), F.lit(False))
     placed = placed.withColumn("covered", covered).where((F.col("kind") != ORDER["weak"]) | ~F.col("covered")).drop("covered")
     role = F.element_at(F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(ORDER[k]), F.lit(v[3])))), F.col("kind"))
-    reach = Window.partitionBy("__key").orderBy("start").rangeBetween(-scope, scope)
+    later = Window.partitionBy("__key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
 
     def near(*roles: str) -> Column:
-        return F.sum(role.isin(*roles).cast("int")).over(reach) > 0
+        """The farthest end of those that begin before, or the first start of those that begin after, is in reach."""
+        before = F.max(F.when(role.isin(*roles), F.col("end"))).over(earlier) >= F.col("start") - scope
+        after = F.min(F.when(role.isin(*roles), F.col("start"))).over(later) <= F.col("end") + scope
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
     needed = (
         F.when(role == "weak_ident", near("secret", "weak_secret"))
