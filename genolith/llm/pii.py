@@ -47,7 +47,7 @@ PROPOSALS = {
         re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?[\[({<]?\s?(?:@|\bat\b|@|＠)\s?[\])}>]?\s?[A-Za-z0-9-]{1,63}(?:\s?[\[({<]?\s?(?:\.|\bdot\b)\s?[\])}>]?\s?[A-Za-z0-9-]{2,63}){1,4}", re.I),
     ],
     "ip": [
-        re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,5}(?![0-9A-Fa-f:])"),
+        re.compile(r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})|(?:[0-9A-Fa-f]{1,4})?::[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Fa-f:])"),
         re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({]?\s?(?:\.|dot)\s?[\])}]?\s?[0-9]{1,3}){3}(?![0-9])", re.I),
     ],
     "card": [re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/ -]{0,3}[0-9]{4}){2}[ ._/ -]{0,3}[0-9]{1,7}(?![0-9])"), re.compile(r"(?<![0-9])3[0-9]{3}[ ._/-]{1,3}[0-9]{6}[ ._/-]{1,3}[0-9]{5}(?![0-9])")],
@@ -109,18 +109,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Proposed spans, overlapping or not, that have at least the shape of their kind."""
     out = set()
-    lowered = None
-    digits = _HAS_DIGITS.search(text) is not None
+    digit, digits = _HAS_DIGIT.search(text) is not None, _HAS_DIGITS.search(text) is not None
+    # what every match of the kind must hold
+    may = {"email": "@" in text or "＠" in text or _AT.search(text) is not None, "ip": digit or "::" in text or text.count(":") >= 2, "card": digits, "phone": digits}
     for kind, name in enumerate(KINDS):
-        if name == "email":
-            if "@" not in text and "＠" not in text:
-                lowered = text.lower() if lowered is None else lowered
-                if not (_AT.search(lowered) and _DOT.search(lowered)):
-                    continue
-        elif name == "ip":
-            if not digits and text.count(":") < 3:
-                continue
-        elif not digits:
+        if not may[name]:
             continue
         for pattern in PROPOSALS[name]:
             for m in pattern.finditer(text):
@@ -131,8 +124,8 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-_HAS_DIGITS = re.compile(r"[0-9][0-9]")
-_AT, _DOT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\bat\b"), re.compile(r"[\[({<]\s?dot\s?[\])}>]|\bdot\b")
+_HAS_DIGIT, _HAS_DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9][0-9]")
+_AT = re.compile(r"\bat\b", re.I)
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
@@ -175,7 +168,7 @@ def _examples(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
         if kind == 1:
             if r.random() < 0.5:
                 full = ":".join(f"{r.randrange(1 << 16):x}" for _ in range(8))
-                return full if r.random() < 0.6 else "2001:db8::" + ":".join(f"{r.randrange(1 << 16):x}" for _ in range(r.randint(2, 4)))
+                return full if r.random() < 0.6 else r.choice(("2001:db8::", "fe80::")) + ":".join(f"{r.randrange(1 << 16):x}" for _ in range(r.randint(1, 4)))
             return r.choice(("[.]", " . ", "(dot)", "[dot]")).join(str(r.randint(0, 255)) for _ in range(4))
         if kind == 2:
             d = _with_luhn(r, 16)

@@ -35,6 +35,27 @@ def test_base_against_brute_force(detector):
         assert set(brute(s)) <= {x[:3] for x in detector.spans(s)}
 
 
+def ungated(s):
+    out = set()
+    for kind, name in enumerate(pii.KINDS):
+        for p in pii.PROPOSALS[name]:
+            for m in p.finditer(s):
+                n = sum("0" <= c <= "9" for c in m[0])
+                if not (kind == 2 and not 13 <= n <= 19 or kind == 3 and not 7 <= n <= 15):
+                    out.add((kind, *m.span()))
+    return sorted(out)
+
+
+def test_candidates_lose_nothing_to_their_checks():
+    r = random.Random(5)
+    bits = ["john.smith", " at ", "(at)", "[AT]", "@", "example", ".", "com", " dot ", "8", "[.]", "fe80", "::", ":", "1", "a1b2", " ", "12", "٣", "-"]
+    for _ in range(20000):
+        s = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        assert pii.candidates(s) == ungated(s), s
+    for kind, s in ((0, "john.smith(at)example.com"), (1, "8[.]8[.]8[.]8"), (1, "fe80::1"), (1, "fe80::a1b2:3c4d:5e6f:7a8b"), (1, "::1"), (1, "2001:db8::1")):
+        assert (kind, 0, len(s)) in pii.candidates(s), s
+
+
 def test_held_out_accuracy(detector):
     rows = pii._examples(2000, 99)
     y, kinds = np.array([r[4] for r in rows]), np.array([r[1] for r in rows])
