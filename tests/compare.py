@@ -1,13 +1,14 @@
 """Rows of a Spark query against those of its SQL in DuckDB, in any order."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    shown = [[f"{v:.6f}" if isinstance(v, float) else "None" if v is None or v != v else str(v) for v in r] for r in frame.astype(object).itertuples(index=False)]
+    shown = [[f"{v:.6f}" if isinstance(v, float) and v == v else "None" if v is None or v is pd.NA or v != v else str(v) for v in r] for r in frame.astype(object).itertuples(index=False)]
     return list(frame.columns), sorted(shown)
 
 
