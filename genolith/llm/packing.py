@@ -11,7 +11,8 @@ frequent length isn't one task), and a pattern owns an interval of ranks.
 
 Defined cases. Null or empty text: the end id alone, one piece. Null or repeated doc_id: every row is packed on its
 own. A text of any length is cut into pieces of the capacity, the last one shorter. Ties between equal lengths are
-broken by doc_id and piece. Empty table: no rows. Only doc_id and text are read.
+broken by doc_id, piece and ids_crc32. Empty table: no rows. Only doc_id and text are read by `pieces`; `pack` keeps
+all columns of its pieces, also those named like its own.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import settled
 from .tokens import Encoder, default_path
 
 CAPACITY, END = 2048, 0
-#: Cells by which the ranks of a length are numbered, each by its own task.
-CELLS = 64
+#: Pieces of a length that are numbered in one cell; a more frequent length has several, each a task's own group.
+PER_CELL = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -144,20 +146,21 @@ class Places:
 
 
 def _cutter(path: str, capacity: int, end: int, with_ids: bool):
-    tail = np.array([end], "<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(path)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + tail
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+            row = 0
+            for counts, ids in encode.with_end(batch.column(1), end):
+                cuts = -(-counts // capacity)
+                piece = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * capacity
+                length = np.minimum(np.repeat(counts, cuts) - start, capacity)
+                raw, ends = ids.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(length)).tolist()
+                own = [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+                doc_id = batch.column(0).take(pa.array(row + np.repeat(np.arange(len(counts)), cuts)))
+                row += len(counts)
+                columns = [doc_id, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own if with_ids else [None] * len(own), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return cut
 
@@ -168,27 +171,34 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset. cut: rows with doc_id, piece, length and any other columns."""
-    cut = settled(cut)
+    """The pieces with sequence_id and offset. cut: rows with doc_id, piece, length, ids_crc32 and any other columns.
+
+    A caller's own sequence_id and offset are replaced; all other columns stay, whatever their names.
+    """
+    cut = settled(cut.drop("sequence_id", "offset"))
     lengths = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row a length
     held = cut.sparkSession.sparkContext.broadcast(Places(plan(lengths, capacity)))
-    celled = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(CELLS)).cast("int"))
+    # a frequent length has more cells, so that none holds more than PER_CELL rows but by chance
+    wide = {n: -(-c // PER_CELL) for n, c in lengths.items() if c > PER_CELL}
+    many = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in wide.items() for x in p)), F.col("length")), F.lit(1)) if wide else F.lit(1)
+    rows = cut.select(F.struct(*(F.col(f"`{c}`") for c in cut.columns)).alias("row"), "length", F.xxhash64("doc_id", "piece", "ids_crc32").alias("tie"), many.cast("long").alias("cells"))
+    celled = rows.withColumn("cell", F.pmod("tie", "cells"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each length and another for each PER_CELL rows: small, and joined by key, so never broadcast blindly
     shifts = celled.groupBy("length", "cell").agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece"))
-    # capacity * CELLS rows at most
-    ranked = celled.withColumn("own", own).join(F.broadcast(shifts), ["length", "cell"]).withColumn("rank", F.col("own") - 1 + F.col("shift"))
+    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("row.doc_id", "row.piece", "row.ids_crc32"))
+    ranked = celled.withColumn("own", own).join(shifts, ["length", "cell"]).withColumn("rank", F.col("own") - 1 + F.col("shift"))
+
+    names = [*cut.columns, "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            sequence, offset = held.value.find(length, rank)
-            kept = [c for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
-
-    chosen = ranked.select(*cut.columns, F.col("rank").cast("long").alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    return chosen.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+            row, length, rank = batch.columns
+            sequence, offset = held.value.find(length.to_numpy(), rank.to_numpy())
+            yield pa.RecordBatch.from_arrays([*row.flatten(), pa.array(sequence), pa.array(offset)], names)
+
+    chosen = ranked.select("row", F.col("length").cast("long"), F.col("rank").cast("long"))
+    return chosen.mapInArrow(place, StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ A row of a file holds part (the range), segment (its place there) and data. Read
 the ids before a document are those before its part, before its segment there, and before it in the segment.
 
 Defined cases. Null or empty text: the end id alone. Null doc_id: first in order. Repeated doc_id: in an order of
-their own, each with its ids. A text of any length is one document (a segment ends after it). Empty table: no
-segments, no rows. Only doc_id and text are read.
+their own, each with its ids. A text of any length is one document (a segment is closed behind it). Ids of any tokenizer up
+to 2**32 - 1. Empty table: no segments, no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,24 +32,24 @@ SEGMENT = 8_000_000
 
 
 def _writer(path: str, end: int, most: int):
-    tail = np.array([end], np.uint16)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, segment = Encoder.of(path), TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, held = [], [], [], 0
 
         def row():
             nonlocal doc_ids, lengths, ids, held, segment
-            data = write_segment(doc_ids, np.array(lengths), np.concatenate(ids))
+            every, ids = np.concatenate(ids), []
+            data = write_segment(doc_ids, np.concatenate(lengths), every)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "data"])
-            doc_ids, lengths, ids, held, segment = [], [], [], 0, segment + 1
+            doc_ids, lengths, held, segment = [], [], 0, segment + 1
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.concatenate([np.frombuffer(encode(text.as_py() or ""), "<u4").astype(np.uint16), tail])
-                doc_ids.append(doc_id)
-                lengths.append(len(own))
+            names, at = batch.column(0).to_pylist(), 0
+            for counts, own in encode.with_end(batch.column(1), end):
+                doc_ids += names[at : at + len(counts)]
+                at += len(counts)
+                lengths.append(counts)
                 ids.append(own)
                 held += len(own)
                 if held >= most:
@@ -62,8 +62,9 @@ def _writer(path: str, end: int, most: int):
 
 def write(docs: DataFrame, to: str, text: str = "text", doc_id: str = "doc_id", path: str | None = None, end: int = END, segment: int = SEGMENT) -> None:
     """Write the token files of docs to a folder."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id are told apart by where they come from, so that a frequent doc_id is dealt to many parts
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    dealt = source.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     dealt.mapInArrow(_writer(path or default_path(), end, segment), "part int, segment int, n_ids long, data binary").write.parquet(to)
 
 
@@ -73,7 +74,7 @@ def _read(with_ids: bool):
             for k in range(batch.num_rows):
                 part, segment, data = (batch.column(i)[k].as_py() for i in range(3))
                 doc_ids, lengths, ids = read_segment(data)
-                wide = ids.astype("<u4")
+                wide = ids.astype("<u4", copy=False)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 own = [wide[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
