@@ -38,7 +38,7 @@ from .text import NOT_SPACE, Words, mix, rows, window_hashes
 BUCKETS, MANTISSA = 256, 10
 BANDS, ROWS = 51, 5
 #: Shingles of a block in which the documents of crowded buckets are compared.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 #: Document ids that may be broadcast to pick the texts of candidates; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Percent of the union that two sets share at least.

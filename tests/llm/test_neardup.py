@@ -73,8 +73,18 @@ def test_cross_links_across_blocks():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)]
-    assert {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {**{i: 0 for i in range(41)}, 100: 90, 95: 90, 90: 90}
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, None), (91, 90), (90, 91)]
+    assert {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {**{i: 0 for i in range(41)}, 100: 90, 95: 90, 90: 90, 91: 90}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_components_of_long_paths_and_stars_take_few_rounds(spark):
+    told = []
+    path = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    star = spark.range(20_001, 25_000).selectExpr("20000L AS a", "id AS b").unionByName(spark.range(30_000, 33_000).selectExpr("40000L AS a", "id AS b"))
+    rows = components(path.unionByName(star), told).groupBy("comp").count().collect()
+    assert {r.comp: r["count"] for r in rows} == {0: 10_001, 20_000: 5_000, 30_000: 3_001}
+    assert len(told) <= 20 and max(told) <= 3
 
 
 def test_odd_rows(spark, odd):
