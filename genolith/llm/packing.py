@@ -33,7 +33,7 @@ from .tokens import Encoder, default_path
 
 CAPACITY, END = 2048, 0
 #: Pieces of a length that are numbered in one cell; a more frequent length has several, each a task's own group.
-PER_CELL = 20_000
+PER_CELL = 2_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
