@@ -16,10 +16,12 @@ no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
+import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ EXAMPLES = 6000
 PRECISION = 0.97
 #: Code points of context on either side of a candidate.
 CONTEXT = 40
+#: Candidates of a text that are scored at a time.
+BATCH = 4096
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -209,7 +213,7 @@ class Detector:
         rows = _examples(examples, seed)
         x, y = np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float)
         kinds = np.array([r[1] for r in rows])
-        train = np.arange(len(y)) % 3 < 2
+        train = np.array([zlib.crc32(r[0].encode()) % 3 < 2 for r in rows])  # equal snippets are on one side
         self.trees = BoostedTrees().fit(x[train], y[train])
         score = self.trees.score(x)
         self.calibration, self.threshold = [], []
@@ -226,32 +230,64 @@ class Detector:
     def probabilities(self, rows: list[tuple[str, int, int, int]]) -> np.ndarray:
         kinds = np.array([r[1] for r in rows])
         a, b = np.array(self.calibration)[kinds].T
-        return 1 / (1 + np.exp(-(a * self.trees.score(np.array([features(*r) for r in rows])) + b)))
+        return np.minimum(1 / (1 + np.exp(-(a * self.trees.score(np.array([features(*r) for r in rows])) + b))), 1 - 1e-9)  # 1 is a base span's
 
     def spans(self, text: str) -> list[tuple[int, int, int, float]]:
         """(kind number, start, end, probability); base spans have 1."""
         base = base_spans(text)
+        return sorted([*((*b, 1.0) for b in base), *self.added(text, base)])
+
+    def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+        """Accepted candidates that overlap no base span, the likelier ones first where they overlap each other."""
+        proposed = candidates(text)
+        if not proposed:
+            return []
         taken = sorted((s, e) for _, s, e in base)
-        free = []
-        if proposed := candidates(text):
-            starts, furthest, most = [s for s, _ in taken], [], 0
-            for _, e in taken:
-                furthest.append(most := max(most, e))
-            for c in proposed:
-                k = int(np.searchsorted(starts, c[2], "left"))
-                if not k or furthest[k - 1] <= c[1]:
-                    free.append(c)
-        added: list[tuple[int, int, int, float]] = []
-        if free:
-            p = self.probabilities([(text, *c) for c in free])
-            good = sorted(((-p[i], c[1], -(c[2] - c[1]), c[0], c) for i, c in enumerate(free) if p[i] >= self.threshold[c[0]]))
-            ends: list[tuple[int, int]] = []
-            for minus, *_, c in good:
-                at = int(np.searchsorted([e[0] for e in ends], c[1], "right")) if ends else 0
-                if (at == 0 or ends[at - 1][1] <= c[1]) and (at == len(ends) or ends[at][0] >= c[2]):
-                    ends.insert(at, (c[1], c[2]))
-                    added.append((*c, -minus))
-        return sorted([*((*b, 1.0) for b in base), *added])
+        starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+        free = [c for c in proposed if not (k := bisect_left(starts, c[2])) or furthest[k - 1] <= c[1]]
+        out: list[tuple[int, int, int, float]] = []
+        good = []
+        for i in range(0, len(free), BATCH):
+            part = free[i : i + BATCH]
+            p = self.probabilities([(text, *c) for c in part])
+            good += [(-p[j], c[1], -(c[2] - c[1]), c[0], c) for j, c in enumerate(part) if p[j] >= self.threshold[c[0]]]
+        begins, ends = Sorted(), {}
+        for minus, *_, c in sorted(good):
+            before, after = begins.around(c[1])
+            if (before is None or ends[before] <= c[1]) and (after is None or after >= c[2]):
+                begins.add(c[1])
+                ends[c[1]] = c[2]
+                out.append((*c, -minus))
+        return out
+
+
+class Sorted:
+    """Distinct numbers in order, in short runs, so that adding one moves few."""
+
+    def __init__(self):
+        self.runs: list[list[int]] = [[]]
+        self.heads: list[int] = []
+
+    def around(self, x: int) -> tuple[int | None, int | None]:
+        """The largest number up to x, and the smallest above it."""
+        k = bisect_right(self.heads, x)
+        if not k:
+            return None, self.heads[0] if self.heads else None
+        run = self.runs[k]
+        i = bisect_right(run, x)
+        return run[i - 1], run[i] if i < len(run) else self.heads[k] if k < len(self.heads) else None
+
+    def add(self, x: int) -> None:
+        k = bisect_right(self.heads, x)
+        if not k:
+            self.heads.insert(0, x)
+            self.runs.insert(1, [x])
+            return
+        run = self.runs[k]
+        insort(run, x)
+        if len(run) > 512:
+            self.runs[k : k + 1] = [run[:256], run[256:]]
+            self.heads.insert(k, run[256])
 
 
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,probability:double,base:boolean>>"
@@ -267,8 +303,9 @@ def detect(docs: DataFrame, detector: Detector | None = None, text: str = "text"
             out = []
             for value in batch.column(1):
                 s = value.as_py() or ""
-                base = set(base_spans(s))
-                out.append([{"kind": KINDS[k], "start": a, "end": z, "probability": p, "base": (k, a, z) in base} for k, a, z, p in held.value.spans(s)])
+                base = base_spans(s)
+                found = sorted([*((*b, 1.0, True) for b in base), *((*c, False) for c in held.value.added(s, base))])
+                out.append([{"kind": KINDS[k], "start": a, "end": z, "probability": p, "base": b} for k, a, z, p, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(find, SCHEMA)

@@ -1,10 +1,14 @@
+import hashlib
 import random
 import re
+import time
+from bisect import bisect_right
 
 import numpy as np
 import pytest
 
 from genolith.llm import pii
+from genolith.llm.queries import QUERIES
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -78,6 +82,36 @@ def test_linear_time(detector):
         detector.spans(s)
 
 
+def test_many_accepted_spans_cost_linear_time(detector):
+    for unit in ("call (212) 555-0187 now or mail a@b.co at 10.0.0.1 ; ", "write to bob at example dot com now. "):
+        took = []
+        for size in (50_000, 400_000):
+            began = time.process_time()
+            assert len(detector.spans(unit * (size // len(unit)))) >= size // len(unit)
+            took.append(time.process_time() - began)
+        assert took[1] < 16 * took[0] + 1, took
+
+
+def test_sorted():
+    r, own, s = random.Random(1), [], pii.Sorted()
+    for _ in range(4000):
+        x = r.randrange(10**6)
+        k = bisect_right(own, x)
+        assert s.around(x) == (own[k - 1] if k else None, own[k] if k < len(own) else None)
+        if k == 0 or own[k - 1] != x:
+            own.insert(k, x)
+            s.add(x)
+
+
+def test_query_columns(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for row in QUERIES["op1_personal_data"](spark, "/root/testdata/sf0.001").collect():
+        want = sorted(brute(docs[row.doc_id]))
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == i for k, *_ in want) for i in range(4)]
+        told = [f"{pii.KINDS[k]}:{a}:{z}" for k, a, z in want]
+        assert row.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest() and set(told) <= set(row.spans.split(","))
+
+
 def test_odd_rows(spark, odd, detector):
     rows = pii.detect(odd, detector).collect()
     assert len(rows) == odd.count() and all(r.spans == [] for r in rows) and pii.detect(odd.limit(0), detector).count() == 0
