@@ -8,7 +8,7 @@ identifier needs a secret, a weak secret needs an identifier or an endpoint, an
 Matches have no positions in SQL; here the text between the matches (split by the same pattern) and the matches
 themselves give them, as a running sum of lengths. The interval join of parts measures the gap between their ends and
 starts: running windows over each document's parts, forward and backward, tell the farthest end and the first start of
-the complementary parts without making a row for each pair.
+the complementary parts, and so the nearest partner of each part, without making a row for each pair.
 
 Defined cases. Null or empty text: no spans. Null doc_id: rows are told apart by their text. Repeated rows (same
 doc_id and text) get the same spans each. Texts of any length are scanned whole; their parts are rows, not one array.
@@ -73,21 +73,22 @@ def _parts(text: Column, kind: str) -> Column:
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """docs with doc_key, which rows of the same doc_id and text share."""
-    return docs.withColumn("__key", F.sha2(F.concat_ws("\x01", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))), 256))
+    """docs with __key, which rows of the same doc_id and text share; rows without text have one each, that no text has."""
+    own = F.sha2(F.concat_ws("\x01", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(text)), 256)
+    return docs.withColumn("__key", F.when(F.length(text) > 0, own).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
 
 
 def linked_parts(rows: DataFrame, text: str, scope: int = SCOPE) -> DataFrame:
-    """__key, spans: the spans of each text that has any, as array<struct<start, kind, end>> in order."""
+    """__key, spans: the spans of each text that has any, as array<struct<start, kind, end, partner>> in order."""
     every = F.concat(*(_parts(F.col(text), kind) for kind in KINDS))
     parts = (
-        rows.where(F.col(text).isNotNull())
+        rows.where(F.length(text) > 0)
         .select("__key", text, *(_matches(F.col(text), kind).alias(f"__{kind}") for kind in KINDS))
         .where(F.greatest(*(F.size(f"__{kind}") for kind in KINDS)) > 0)
-        .select("__key", F.explode(every).alias("p"))
+        .select("__key", every.alias("parts"))
+        .groupBy("__key").agg(F.first("parts").alias("parts"))  # repeated rows are one before they are dealt out
+        .select("__key", F.explode("parts").alias("p"))
         .select("__key", "p.*")
-        .repartition("__key")
-        .dropDuplicates(["__key", "kind", "place"])
     )
     before = Window.partitionBy("__key", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.col("len")).over(before)
@@ -97,28 +98,38 @@ def linked_parts(rows: DataFrame, text: str, scope: int = SCOPE) -> DataFrame:
     covered = F.coalesce(F.max(F.when(F.col("kind") == ORDER["assign"], F.col("end"))).over(earlier) >= F.col("end"), F.lit(False))
     placed = placed.withColumn("covered", covered).where((F.col("kind") != ORDER["weak"]) | ~F.col("covered")).drop("covered")
     role = F.element_at(F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(ORDER[k]), F.lit(v[3])))), F.col("kind"))
+    placed = placed.withColumn("role", role)
     later = Window.partitionBy("__key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
-
-    def near(*roles: str) -> Column:
-        """The farthest end of those that begin before, or the first start of those that begin after, is in reach."""
-        before = F.max(F.when(role.isin(*roles), F.col("end"))).over(earlier) >= F.col("start") - scope
-        after = F.min(F.when(role.isin(*roles), F.col("start"))).over(later) <= F.col("end") + scope
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-
-    needed = (
-        F.when(role == "weak_ident", near("secret", "weak_secret"))
-        .when(role == "weak_secret", near("ident", "weak_ident", "endpoint"))
-        .when(role == "endpoint", near("secret", "weak_secret"))
-        .otherwise(True)
+    role = F.col("role")
+
+    def partner(*roles: str) -> Column:
+        """The start of the nearest part of these roles in reach: the farthest end of those that begin before, or the first start of those after."""
+        own = F.when(role.isin(*roles), F.struct("end", "start"))
+        back, on = F.max(own).over(earlier), F.min(F.when(role.isin(*roles), F.struct("start", "end"))).over(later)
+        gap = F.when(back.isNotNull(), F.greatest(F.col("start") - back["end"], F.lit(0)))
+        ahead = F.when(on.isNotNull(), F.greatest(on["start"] - F.col("end"), F.lit(0)))
+        return (
+            F.when((gap <= scope) & (ahead.isNull() | (gap <= ahead)), back["start"])
+            .when(ahead <= scope, on["start"])
+        )
+
+    beside = (
+        F.when(role.isin("ident", "weak_ident"), partner("secret", "weak_secret"))
+        .when(role.isin("secret", "weak_secret"), partner("ident", "weak_ident", "endpoint"))
+        .when(role == "endpoint", partner("secret", "weak_secret"))
     )
-    return placed.withColumn("told", needed).where("told").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    told = placed.withColumn("partner", beside).where(role.isin("ident", "secret") | F.col("partner").isNotNull())
+    return told.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "partner"))).alias("spans"))
+
+
+SPANS = "array<struct<start:bigint,kind:int,end:bigint,partner:bigint>>"
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
-    """doc_id and spans (array<struct<start, kind, end>>, empty if none) of every row."""
+    """doc_id and spans (array<struct<start, kind, end, partner>>, empty if none) of every row; partner: the start of the part that a span is linked with, if any."""
     rows = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id")
     found = linked_parts(rows, "text", scope)
-    return rows.select("doc_id", "__key").join(found, "__key", "left").select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("spans"))
+    return rows.select("doc_id", "__key").join(found, "__key", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
@@ -158,4 +169,6 @@ def op5_linked_secrets(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == ORDER[kind])).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
-    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    linked = F.filter("spans", lambda s: s["partner"].isNotNull())
+    links = F.array_join(F.transform(linked, lambda s: F.concat_ws(":", s["start"], s["partner"])), ",")
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), links.alias("links"))
