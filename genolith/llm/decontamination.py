@@ -105,14 +105,20 @@ def _scanner(test_set, doc_id: str, text: str):
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """A row for each document: doc_id, n_words, hit_starts and hit_ends (runs of hit words, end exclusive), items (sorted as strings)."""
     sized = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col("text").alias("t"))
-    # a window needs at least one byte for each word and gap, so bytes bound windows and what is collected
-    weight = sized.agg(F.sum(F.octet_length("t")).alias("b"), F.max(F.octet_length("t")).alias("m")).first()
-    blocks = max(1, -(-(weight.b or 0) // max_windows))
+    blocks = _blocks(sized, max_windows)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.monotonically_increasing_id() if blocks > 1 else F.lit(0)).cast("long").alias("row_key"))
-    found = _merged(source, sized, blocks)
+    # rows are written first where several blocks must find them under the same keys
+    found = _merged(settled(source) if blocks > 1 else source, sized, blocks)
     return found.drop("row_key")
 
 
+def _blocks(sized: DataFrame, max_windows: int) -> int:
+    """In how many blocks the items (item, t) are taken, by their windows."""
+    words = F.regexp_count(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    windows = sized.select(words.alias("n")).where("n > 0").agg(F.sum(F.greatest(F.col("n") - (WINDOW - 1), F.lit(1)))).first()[0] or 0
+    return max(1, -(-windows // max_windows))
+
+
 def _merged(source: DataFrame, sized: DataFrame, blocks: int) -> DataFrame:
     """The hits of all blocks of a benchmark (item, t) in source (doc_id, text, row_key), merged by row_key."""
     results = []
@@ -195,7 +201,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_window
     then judged once and cut once. The rows are written first, so that every block finds them under the same keys.
     """
     sized = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t"))
-    blocks = max(1, -(-(sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // max_windows))
+    blocks = _blocks(sized, max_windows)
     if blocks == 1:
         tests = docs.sparkSession.sparkContext.broadcast(TestSet([(r.item, r.t) for r in sized.collect()]))
         return docs.mapInArrow(_cutter(tests, text), docs.schema)

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a folder made for the session."""
+    """The folder named by spark.checkpoint.dir; where it is unset and all runs in one process, a folder made for the session."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="genolith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -25,6 +28,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that was settled in the shared folder; frames that still read it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/genolith")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once for each SparkContext."""
     sc = spark.sparkContext
