@@ -43,7 +43,9 @@ ORDER = 5
 #: N-grams of the highest order in a load, some 150 MB in a worker. A block has one fourth character at least.
 LOAD = 4_000_000
 #: N-grams that a counting task holds before it tells them.
-TOLD = 1_000_000
+TOLD = 400_000
+#: Bytes of text that are counted or scored at a time.
+CHUNK = 1 << 19
 #: How far a band reaches on either side of its middle, in the deviation of sound documents on that side.
 BAND = 4.5
 #: A band of so many documents is twice as wide as one of very many.
@@ -107,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, last, n = held.pop(lang)
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(first.astype(np.int32)), pa.array(last.view(np.int64)), pa.array(n)], ["lang", "hi", "lo", "n"])
 
-    for batch, data, offsets in rows(batches):
+    for batch, data, offsets in rows(batches, most=CHUNK):
         first, last, bounds = grams(data, offsets)
         langs = batch.column(batch.schema.get_field_index("lang")).fill_null("").to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(langs)), np.diff(bounds))
@@ -302,7 +304,7 @@ def _scorer(held, schema: pa.Schema, text: int, lang: int, fresh: bool):
         models: dict[str, tuple[Model, int, int]] = held.value
         for whole in batches:
             named = pa.RecordBatch.from_arrays([*whole.columns], [f"c{i}" for i in range(whole.num_columns)])
-            for batch, data, offsets in rows(iter([named]), f"c{text}"):
+            for batch, data, offsets in rows(iter([named]), f"c{text}", CHUNK):
                 n = batch.num_rows
                 first, last, bounds = grams(data, offsets)
                 sizes = np.diff(bounds)

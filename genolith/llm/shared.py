@@ -34,9 +34,16 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch: of documents, so that a batch is some megabytes in the JVM and in a worker.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each SparkContext."""
+    """Give executors this package, once for each SparkContext, and keep Arrow batches small where the session has no size of its own."""
     sc = spark.sparkContext
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
     if getattr(sc, "_genolith_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

@@ -6,6 +6,8 @@ space, ASCII punctuation) act alike on bytes and on code points, since all bytes
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,9 +134,17 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def rows(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def rows(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the bytes and offsets of their texts, each of a bounded number of bytes."""
     for batch in batches:
         data, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, most):
             yield batch.slice(i, j - i), data, offsets[i : j + 1]
+    released()
+
+
+def released() -> None:
+    """Give what a task has freed back to the system: a worker stays for the next task, and its memory counts beside the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
