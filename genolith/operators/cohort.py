@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import predicates as P
@@ -143,5 +143,6 @@ def locus_summary(variants: DataFrame, genotypes: DataFrame, regions) -> DataFra
 
 def position_cuts(variants: DataFrame, every: int) -> DataFrame:
     """Every so manieth position of a contig: the edges of bounded export windows."""
-    order = Window.partitionBy("chrom").orderBy("pos", "ref", "alt")
-    return variants.withColumn("rn", F.row_number().over(order)).where(F.col("rn") % every == 0).select("chrom", "pos")
+    from .ranges import ranked
+
+    return ranked(variants, ["chrom"], ("pos", "ref", "alt")).where((F.col("__rank") + 1) % every == 0).select("chrom", "pos")

@@ -30,13 +30,25 @@ def combine(sets: dict[str, DataFrame], least: int = 1, pass_only: bool = False,
 
 
 def merge_samples(sets: dict[str, DataFrame]) -> DataFrame:
-    """One row for each site and each sample of any set; a sample without a call of the site has NULL."""
+    """The calls of all sets side by side, a sample being told with its set's name. Sparse: a sample without a call of a site has no row."""
     every = None
     for name, d in sets.items():
         own = d.select(*SITE, F.concat_ws(":", F.lit(name), "sample_id").alias("sample_id"), "gt")
         every = own if every is None else every.unionByName(own)
-    who = every.select("sample_id").distinct()
-    return every.select(*SITE).distinct().join(F.broadcast(who)).join(every, [*SITE, "sample_id"], "left")
+    return every
+
+
+def site_rows(merged: DataFrame, samples: list[str]) -> DataFrame:
+    """A row for each site with the genotypes of the samples in their order (NULL where there is no call): what a file's line needs."""
+    known = merged.groupBy(*SITE).agg(F.map_from_entries(F.collect_set(F.struct("sample_id", "gt"))).alias("m"))  # one site's samples
+    return known.select(*SITE, F.transform(F.array(*(F.lit(s) for s in samples)), lambda s: F.try_element_at("m", s)).alias("gts"))
+
+
+def filled(merged: DataFrame) -> DataFrame:
+    """The merged calls with a row for every sample of every site."""
+    samples = sorted(r.sample_id for r in merged.select("sample_id").distinct().collect())  # the columns of the merged file
+    names = F.array(*(F.lit(s) for s in samples))
+    return site_rows(merged, samples).select(*SITE, F.posexplode("gts").alias("i", "gt")).select(*SITE, F.get(names, F.col("i")).alias("sample_id"), "gt")
 
 
 def projected_info(value: str, number: str, allele: int) -> Column:

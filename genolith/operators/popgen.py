@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import harmonics, log_factorials
 from . import predicates as P
 from .cohort import KEY
-from .ranges import sliding_windows
+from .ranges import sliding_windows, small
 
 EPS = 1e-12
 
@@ -25,29 +25,66 @@ def groups(samples: DataFrame, by: str = "population") -> DataFrame:
 def counts(variants: DataFrame, genotypes: DataFrame, missing: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each site and group: k, het, called, n; groups without any call of a site count as reference."""
     size = labels.groupBy("ingest_id", "grp").agg(F.count("*").alias("size"))
-    alt = genotypes.where("gt > 0").join(F.broadcast(labels), ["ingest_id", "sample_id"]).groupBy(*KEY, "grp").agg(F.sum("gt").cast("long").alias("k"), F.count_if(F.col("gt") == 1).alias("het"))
-    gone = missing.join(F.broadcast(labels), ["ingest_id", "sample_id"]).groupBy(*KEY, "grp").agg(F.countDistinct("sample_id").alias("gone"))
-    grid = variants.select(*KEY, *(c for c in ("filter", "info_AA") if c in variants.columns)).join(F.broadcast(size), "ingest_id")
+    alt = genotypes.where("gt > 0").join(small(labels), ["ingest_id", "sample_id"]).groupBy(*KEY, "grp").agg(F.sum("gt").cast("long").alias("k"), F.count_if(F.col("gt") == 1).alias("het"))
+    gone = missing.join(small(labels), ["ingest_id", "sample_id"]).groupBy(*KEY, "grp").agg(F.countDistinct("sample_id").alias("gone"))
+    grid = variants.select(*KEY, *(c for c in ("filter", "info_AA", "an_called", "ac_called") if c in variants.columns)).join(F.broadcast(size), "ingest_id")
     out = grid.join(alt, [*KEY, "grp"], "left").join(gone, [*KEY, "grp"], "left").fillna(0, ["k", "het", "gone"])
     return out.withColumn("called", F.col("size") - F.col("gone")).withColumn("n", 2 * F.col("called")).drop("gone")
 
 
+def exact_counts(called: Column, alt: Column, an_called: Column, ac_called: Column) -> Column:
+    """Whether the counts that missing rows leave agree with those that a site was loaded with; a site without them can't disagree."""
+    return F.coalesce((2 * called == an_called) & (alt == ac_called), F.lit(True))
+
+
 def site_reasons(counted: DataFrame, min_call_rate: float = 0.9, maf: float = 0.0, pass_only: bool = False) -> DataFrame:
-    """KEY, reason: the first test that a site fails, NULL if it is kept. Order: non_autosomal, not_biallelic, variant_type, filter, call_rate, maf."""
-    site = counted.groupBy(*KEY).agg(F.min(F.col("called") / F.col("size")).alias("rate"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.first("filter").alias("filter"))
+    """KEY, reason: the first test that a site fails, NULL if it is kept.
+
+    Order: non_autosomal, not_biallelic, variant_type, filter, inexact_group_counts (if the sites carry an_called and
+    ac_called), call_rate, maf.
+    """
+    loaded = {"an_called", "ac_called"} <= set(counted.columns)
+    site = counted.groupBy(*KEY).agg(
+        F.min(F.col("called") / F.col("size")).alias("rate"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.first("filter").alias("filter"), F.sum("called").alias("all_called"),
+        *(F.first(c).alias(c) for c in ("an_called", "ac_called") if loaded),
+    )
     shared = F.count("*").over(Window.partitionBy("ingest_id", "chrom", "pos"))
     minor = F.try_divide(F.least("k", F.col("n") - F.col("k")).cast("double"), F.col("n"))
     reason = F.when(~P.is_autosome_like(F.col("chrom")), "non_autosomal").when(F.col("alleles") > 1, "not_biallelic").when(~P.is_snv(), "variant_type")
     if pass_only:
         reason = reason.when(~P.passed(F.col("filter")), "filter")
+    if loaded:
+        reason = reason.when(~exact_counts(F.col("all_called"), F.col("k"), F.col("an_called"), F.col("ac_called")), "inexact_group_counts")
     reason = reason.when(F.col("rate") < min_call_rate - EPS, "call_rate").when(F.coalesce(minor, F.lit(0.0)) < maf - EPS, "maf")
     return site.withColumn("alleles", shared).select(*KEY, reason.alias("reason"))
 
 
 def kept(counted: DataFrame, **limits) -> DataFrame:
+    """The rows of the sites that pass all tests, in the shuffle by site that the tests need anyway."""
     return counted.join(site_reasons(counted, **limits).where("reason is null").select(*KEY), KEY, "left_semi")
 
 
+def tracking(variants: DataFrame, samples: DataFrame, missing: DataFrame) -> DataFrame:
+    """By ingestion, whether missing calls are told apart from reference ones, and what speaks against it.
+
+    untracked: sites without loaded counts of called samples. unrecorded: sites at which fewer samples were called than
+    there are, though no missing row says which.
+    """
+    total = samples.groupBy("ingest_id").agg(F.countDistinct("sample_id").alias("n_samples"))
+    gone = missing.groupBy(*KEY).agg(F.count("*").alias("gone"))
+    site = variants.select(*KEY, "n_called", "an_called").join(small(total), "ingest_id").join(gone, KEY, "left")
+    unrecorded = (F.col("n_called") < F.col("n_samples")) & (F.col("an_called") == 2 * F.col("n_called")) & F.col("gone").isNull()
+    out = site.groupBy("ingest_id").agg(F.count_if(F.col("n_called").isNull()).alias("untracked"), F.count_if(unrecorded).alias("unrecorded"))
+    return out.withColumn("tracked", (F.col("untracked") == 0) & (F.col("unrecorded") == 0))
+
+
+def require_tracking(found: DataFrame, allow_untracked: bool = False) -> DataFrame:
+    """The tracking rows; an ingestion whose missing calls would count as reference is an error unless that is allowed."""
+    if not allow_untracked and (bad := [r.ingest_id for r in found.where("not tracked").select("ingest_id").collect()]):  # a row for each ingestion
+        raise ValueError(f"missing calls aren't tracked in {', '.join(sorted(bad))}")
+    return found
+
+
 def reasons(counted: DataFrame, **limits) -> DataFrame:
     return site_reasons(counted, **limits).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("sites"))
 
@@ -78,10 +115,14 @@ def summary(counted: DataFrame) -> DataFrame:
 
 def hudson_fst(counted: DataFrame) -> DataFrame:
     """Hudson's F_ST of each pair of groups as a ratio of sums; NULL where the denominator isn't positive."""
-    side = lambda s: counted.where("n > 1").select(*KEY, F.col("grp").alias(f"grp{s}"), (F.col("k") / F.col("n")).alias(f"p{s}"), F.col("n").cast("double").alias(f"n{s}"))
+    one = F.struct("grp", (F.col("k") / F.col("n")).alias("p"), F.col("n").cast("double").alias("n"))
+    # the groups of a site, few, meet in its row: one shuffle by site
+    site = counted.where("n > 1").groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("g"))
+    pairs = site.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.filter("g", lambda x: x["grp"] > F.col("a.grp"))).alias("b"))
+    flat = pairs.select(F.col("a.grp").alias("grp1"), F.col("b.grp").alias("grp2"), F.col("a.p").alias("p1"), F.col("b.p").alias("p2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"))
     num = F.expr("(p1 - p2) * (p1 - p2) - p1 * (1 - p1) / (n1 - 1) - p2 * (1 - p2) / (n2 - 1)")
     den = F.expr("p1 * (1 - p2) + p2 * (1 - p1)")
-    out = side(1).join(side(2), KEY).where("grp1 < grp2").groupBy("grp1", "grp2").agg(F.count("*").alias("sites"), F.sum(num).alias("num"), F.sum(den).alias("den"))
+    out = flat.groupBy("grp1", "grp2").agg(F.count("*").alias("sites"), F.sum(num).alias("num"), F.sum(den).alias("den"))
     return out.withColumn("fst", F.when(F.col("den") > 0, F.col("num") / F.col("den")))
 
 
@@ -149,6 +190,30 @@ def neutrality(spectrum: DataFrame, m: int) -> DataFrame:
     return sums.withColumns({"theta_w": s / an, "tajima_d": d, "fay_wu_h_raw": F.col("pi") - F.col("theta_h"), "fay_wu_h": h})
 
 
+def projected_thetas(counted: DataFrame, m: int) -> DataFrame:
+    """By group, S, pi, theta_w, theta_l and theta_h of the spectrum projected to m haplotypes, without making it.
+
+    Of J drawn alleles out of m, the first two moments and the chances of none and of all are known in closed form, so
+    a site is one term whatever m is; sites with fewer haplotypes are left out.
+    """
+    table = log_factorials(counted.sparkSession, max(2, m, most_called(counted)))
+    known = F.array(*(F.lit(r.lf) for r in table.orderBy("n").collect()))  # one number for each haplotype count
+    n, k = F.col("n").cast("int"), F.col("k").cast("int")
+    log_comb = lambda a: F.when(a >= m, F.get(known, a) - F.get(known, a - m))
+    chance = lambda a: F.coalesce(F.exp(log_comb(a) - log_comb(n)), F.lit(0.0))
+    share = k.cast("double") / n
+    mean = m * share
+    variance = F.coalesce(F.try_divide(m * share * (1 - share) * (n - m), (n - 1).cast("double")), F.lit(0.0))
+    none, every = chance(n - k), chance(k)
+    distinct = counted.where(F.col("n") >= m).groupBy("grp", "n", "k").agg(F.count("*").alias("w"))
+    total = lambda x: F.sum(F.col("w") * x)
+    out = distinct.groupBy("grp").agg(
+        F.sum("w").alias("sites"), total(1 - none - every).alias("s"), total(pi(F.col("k"), F.col("n"))).alias("pi"),
+        (total(mean - m * every) / (m - 1)).alias("theta_l"), (total(2 * (variance + mean * mean - m * m * every)) / (m * (m - 1))).alias("theta_h"),
+    )
+    return out.withColumn("theta_w", F.col("s") / tajima(m)["a1"])
+
+
 def windows(counted: DataFrame, size: int, step: int) -> DataFrame:
     """pi and segregating sites of each group in windows, also by base pair."""
     spans = counted.groupBy("chrom").agg(F.min("pos").alias("span_start"), F.max("pos").alias("span_end"))

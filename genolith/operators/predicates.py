@@ -44,6 +44,13 @@ def canonical_contig(c: Column) -> Column:
     )
 
 
+def contig_order(c: Column) -> tuple[Column, Column, Column]:
+    """Sort keys of the natural order: numbered contigs by number, then the others by name."""
+    bare = F.regexp_replace(c, "^chr", "")
+    number = F.when(bare.rlike("^[0-9]+$"), bare.cast("long"))
+    return number.isNull(), F.coalesce(number, F.lit(0)), F.when(number.isNull(), bare).otherwise("")
+
+
 def is_autosome(c: Column) -> Column:
     """Human autosomes under either spelling."""
     return c.rlike("^(chr)?([1-9]|1[0-9]|2[0-2])$")
@@ -94,6 +101,12 @@ def allele_balance(prefix: str = "", low: float = 0.25, high: float = 0.75) -> C
     return F.coalesce((F.col(f"{prefix}gt") != 1) | share.isNull() | share.between(low, high), F.lit(True))
 
 
+def hemizygous_balance(prefix: str = "", least: float = 0.75) -> Column:
+    """Hemizygous ALT calls only: the ALT share of reads at least so much; no reads or unknown depths pass."""
+    ref, alt = F.col(f"{prefix}ad_ref").cast("double"), F.col(f"{prefix}ad_alt").cast("double")
+    return F.coalesce((F.col(f"{prefix}gt") != 2) | (F.try_divide(alt, ref + alt) >= least), F.lit(True))
+
+
 def het_depths_known(prefix: str = "") -> Column:
     return (F.col(f"{prefix}gt") != 1) | (F.col(f"{prefix}ad_ref").isNotNull() & F.col(f"{prefix}ad_alt").isNotNull())
 

@@ -19,24 +19,38 @@ def merge(intervals: DataFrame, key: str = "chrom", start: str = "start_pos", en
     return numbered.groupBy(key, "__no").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__no")
 
 
-def _few(intervals: DataFrame, most: int) -> bool:
-    return intervals.limit(most + 1).count() <= most
+def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, to be broadcast if it has no more rows than `most`; else Spark chooses how to join it."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def containing(points: DataFrame, intervals: DataFrame, how: str = "inner", chrom: str = "chrom", pos: str = "pos", start: str = "start_pos", end: str = "end_pos", bucket: int = BUCKET, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """points with each interval [start, end] of their contig that contains them; points' columns win over clashing names.
 
-    A small interval table is broadcast and joined on the contig. A larger one is spread over the buckets that each
-    interval covers and joined on (contig, bucket), so that the join is an equi-join that can be dealt out.
+    Intervals are spread over the buckets that each covers and joined on (contig, bucket), so that a point meets only
+    those of its bucket. The join is broadcast while the spread table is small, else dealt out.
     """
     clash = [c for c in intervals.columns if c in points.columns and c != chrom]
     right = intervals.drop(*clash).withColumnRenamed(chrom, "__chrom")
     within = (F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end))
-    if _few(intervals, broadcast_rows):
-        return points.join(F.broadcast(right), (F.col(chrom) == F.col("__chrom")) & within, how).drop("__chrom")
     spread = right.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
     on = (F.col(chrom) == F.col("__chrom")) & (F.floor(F.col(pos) / bucket) == F.col("__bucket")) & within
-    return points.join(spread, on, how).drop("__chrom", "__bucket")
+    return points.join(small(spread, broadcast_rows), on, how).drop("__chrom", "__bucket")
+
+
+def ranked(rows: DataFrame, key: list[str], order: tuple[str, ...] = ("chrom", "pos", "ref", "alt"), bucket: int = BUCKET, name: str = "__rank") -> DataFrame:
+    """rows with their rank (from 0) by position within a key; order begins with contig and position, or with the position.
+
+    Rows are numbered within buckets of position, each its own group, and shifted by the rows of the buckets before;
+    only a row for each bucket is ever sorted together.
+    """
+    pos = order[1] if order[0] == "chrom" else order[0]
+    group = [*key, *(["chrom"] if order[0] == "chrom" else []), "__bucket"]
+    dealt = rows.withColumn("__bucket", F.floor(F.col(pos) / bucket))
+    before = Window.partitionBy(*key).orderBy(*group[len(key):]).rowsBetween(Window.unboundedPreceding, -1)
+    shift = dealt.groupBy(*group).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    return dealt.withColumn("__own", own).join(shift, group).withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", "__bucket")
 
 
 def sliding_windows(sites: DataFrame, spans: DataFrame, size: int, step: int, chrom: str = "chrom", pos: str = "pos") -> DataFrame:

@@ -12,20 +12,27 @@ from pyspark.sql import functions as F
 
 from . import predicates as P
 from .cohort import KEY
+from .ranges import ranked, small
 
 # Kinship bounds of the classes, and the share of opposite homozygotes below which first degree means parent and child.
 DUPLICATE, FIRST, SECOND, THIRD, PARENT_IBS0 = 0.354, 0.177, 0.0884, 0.0442, 0.005
 
 
 def usable_sites(variants: DataFrame, pass_only: bool = False, max_sites: int | None = None) -> DataFrame:
-    """Biallelic single-base sites of numbered contigs; beyond max_sites, every so manieth by a hash of the site."""
+    """Biallelic single-base sites of numbered contigs; beyond max_sites, evenly thinned to as many."""
     sites = variants.where(P.is_autosome_like(F.col("chrom")) & P.is_snv())
     if pass_only:
         sites = sites.where(P.passed(F.col("filter")))
     sites = sites.select(*KEY).distinct()
-    if max_sites is not None and (n := sites.count()) > max_sites:
-        sites = sites.where(F.pmod(F.xxhash64(*KEY), F.lit(n)) < max_sites)
-    return sites
+    return sites if max_sites is None else thinned(sites, max_sites)
+
+
+def thinned(sites: DataFrame, most: int) -> DataFrame:
+    """`most` sites of each ingestion, spread evenly in the order of contig, position and alleles: those of rank floor(i * total / most)."""
+    rank = ranked(sites, ["ingest_id"])
+    total = sites.groupBy("ingest_id").agg(F.count("*").alias("__total"))
+    step = (F.col("__rank") * most) % F.col("__total")
+    return rank.join(small(total), "ingest_id").where((F.col("__total") <= most) | (step == 0) | (step > F.col("__total") - most)).select(*sites.columns)
 
 
 def kinship(genotypes: DataFrame, missing: DataFrame, samples: DataFrame, sites: DataFrame) -> DataFrame:
@@ -43,7 +50,7 @@ def kinship(genotypes: DataFrame, missing: DataFrame, samples: DataFrame, sites:
         n("x = 1 and y = 1").alias("hethet"), n("x = 2 and y = 2").alias("homhom"), n("x = 2 and y = 1").alias("hom_het"), n("x = 1 and y = 2").alias("het_hom"),
         n("x = -1 and y = -1").alias("both_gone"), n("x = -1 and y = 1").alias("gone_het"), n("x = 1 and y = -1").alias("het_gone"), n("x = -1 and y = 2").alias("gone_hom"), n("x = 2 and y = -1").alias("hom_gone"),
     )
-    who = samples.select("ingest_id", "sample_id").distinct().join(F.broadcast(single), ["ingest_id", "sample_id"], "left").fillna(0, ["het", "hom", "gone"])
+    who = samples.select("ingest_id", "sample_id").distinct().join(small(single), ["ingest_id", "sample_id"], "left").fillna(0, ["het", "hom", "gone"])
     side = lambda s: who.select("ingest_id", F.col("sample_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("het", "hom", "gone")))
     pairs = side("a").join(side("b"), "ingest_id").where("a < b").join(met, ["ingest_id", "a", "b"], "left").join(F.broadcast(total), "ingest_id").fillna(0)
     # homozygous at one and reference at the other: neither het, hom nor missing there
@@ -72,6 +79,6 @@ def pedigree_check(pairs: DataFrame, pedigree: DataFrame, samples: DataFrame) ->
     declared = declared.select("ingest_id", "sample_id", "x.role", "x.parent").where("parent <> '0'")
     known = samples.select("ingest_id", F.col("sample_id").alias("parent")).distinct().withColumn("__known", F.lit(True))
     both = classified(pairs).select("ingest_id", F.col("a").alias("__a"), F.col("b").alias("__b"), "relationship")
-    d = declared.join(F.broadcast(known), ["ingest_id", "parent"], "left").withColumn("__a", F.least("sample_id", "parent")).withColumn("__b", F.greatest("sample_id", "parent")).join(both, ["ingest_id", "__a", "__b"], "left")
+    d = declared.join(small(known), ["ingest_id", "parent"], "left").withColumn("__a", F.least("sample_id", "parent")).withColumn("__b", F.greatest("sample_id", "parent")).join(both, ["ingest_id", "__a", "__b"], "left")
     state = F.when(F.col("__known").isNull(), "not genotyped").when(F.col("relationship").isNull() | (F.col("relationship") == "insufficient-data"), "insufficient data").when(F.col("relationship") == "parent-child", "ok").otherwise("mismatch")
     return d.select("ingest_id", "sample_id", "role", "parent", "relationship", state.alias("state"))

@@ -72,8 +72,21 @@ class Cohort:
     query: DataFrame
 
 
+#: Folders of cohorts that were derived beforehand, by the folder of their tables.
+_STORED: dict[str, str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, to: str) -> None:
+    """Derive the cohort once and write it as Parquet; from then on `cohort` reads it for that folder."""
+    for name, df in vars(cohort(spark, sf_dir)).items():
+        df.write.mode("overwrite").parquet(f"{to}/{name}")
+    _STORED[sf_dir] = to
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> Cohort:
     """The cohort of a folder's tables. No table is read until a query needs it."""
+    if sf_dir in _STORED:
+        return Cohort(**{p: spark.read.parquet(f"{_STORED[sf_dir]}/{p}") for p in PARTS})
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return Cohort(**{p: spark.sql(f"{COHORT_SQL} SELECT * FROM {p}") for p in PARTS})

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotations, cohort as C, combine, concord, family, popgen, ranges, relatedness, scope
+from ..operators import annotations, cohort as C, combine, concord, family, popgen, predicates as P, ranges, relatedness, scope
 from .fixtures import COHORT_SQL, Cohort, cohort
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,6 +229,13 @@ GATES_SQL = " AND ".join(f"({g})" for _, g in _gate_sql())
 STRICT_SQL = " AND ".join(f"({g})" for _, g in _gate_sql(True))
 
 
+#: The inheritance models in SQL.
+MODEL_SQL = {
+    "denovo": "f_gt = 0 AND m_gt = 0 AND g_gt IN (1, 2)", "recessive": "f_gt = 1 AND m_gt = 1 AND g_gt = 2",
+    "dominant": "g_gt = 1 AND least(f_gt, m_gt) = 0 AND f_gt IS NOT NULL AND m_gt IS NOT NULL AND greatest(f_gt, m_gt) > 0",
+}
+
+
 def _rows(c: Cohort) -> DataFrame:
     return family.trios(c.genotypes, c.pedigree, c.variants)
 
@@ -238,7 +245,7 @@ def _model(name: str):
         return family.candidates(_rows(c), name, **LIMITS)
 
     run.__name__ = f"trio_{name}"
-    query(f"{TRIO_SQL} SELECT proband, chrom, pos, ref, alt, g_gt, f_gt, m_gt, info_AF AS af FROM trio WHERE ({family.MODELS[name]}) AND {GATES_SQL}")(run)
+    query(f"{TRIO_SQL} SELECT proband, chrom, pos, ref, alt, g_gt, f_gt, m_gt, info_AF AS af FROM trio WHERE ({MODEL_SQL[name]}) AND {GATES_SQL}")(run)
 
 
 for _name in ("denovo", "recessive", "dominant"):
@@ -247,7 +254,7 @@ for _name in ("denovo", "recessive", "dominant"):
 
 @query(f"""{TRIO_SQL} SELECT proband, gene_symbol, count(*) FILTER (WHERE f_gt > 0) AS paternal, count(*) FILTER (WHERE f_gt = 0) AS maternal,
  array_to_string(list_sort(list(concat_ws(':', chrom, pos, ref, alt, CASE WHEN f_gt > 0 THEN 'paternal' ELSE 'maternal' END))), ',') AS variants
-FROM (SELECT trio.*, gene_symbol FROM trio JOIN genes ON trio.chrom = genes.chrom AND pos BETWEEN start_pos - 300000 AND end_pos + 300000 WHERE ({family.MODELS['dominant']}) AND (info_AF IS NULL OR info_AF <= 0.02 + 1e-7))
+FROM (SELECT trio.*, gene_symbol FROM trio JOIN genes ON trio.chrom = genes.chrom AND pos BETWEEN start_pos - 300000 AND end_pos + 300000 WHERE ({MODEL_SQL['dominant']}) AND (info_AF IS NULL OR info_AF <= 0.02 + 1e-7))
 GROUP BY proband, gene_symbol HAVING count(*) FILTER (WHERE f_gt > 0) > 0 AND count(*) FILTER (WHERE f_gt = 0) > 0""")
 def compound_het(c: Cohort) -> DataFrame:
     wide = c.genes.select("gene_symbol", "chrom", (F.col("start_pos") - 300_000).alias("start_pos"), (F.col("end_pos") + 300_000).alias("end_pos"))
@@ -255,18 +262,18 @@ def compound_het(c: Cohort) -> DataFrame:
 
 
 @query(f"""{TRIO_SQL} SELECT proband, chrom, pos, ref, alt, coalesce(af_grpmax, af) AS popmax FROM trio LEFT JOIN gnomad_af USING (chrom, pos, ref, alt)
-WHERE ({family.MODELS['dominant']}) AND (coalesce(af_grpmax, af) IS NULL OR coalesce(af_grpmax, af) <= 0.05 + 1e-7)""")
+WHERE ({MODEL_SQL['dominant']}) AND (coalesce(af_grpmax, af) IS NULL OR coalesce(af_grpmax, af) <= 0.05 + 1e-7)""")
 def population_rarity(c: Cohort) -> DataFrame:
-    return family.population_rare(_rows(c).where(family.MODELS["dominant"]), c.gnomad_af, 0.05).select("proband", *C.SITE, "popmax")
+    return family.population_rare(_rows(c).where(family.fits("dominant")), c.gnomad_af, 0.05).select("proband", *C.SITE, "popmax")
 
 
-@query(f"{TRIO_SQL} SELECT proband, count(*) AS dropped FROM trio WHERE ({family.MODELS['dominant']}) AND ({GATES_SQL}) AND NOT ({STRICT_SQL}) GROUP BY proband")
+@query(f"{TRIO_SQL} SELECT proband, count(*) AS dropped FROM trio WHERE ({MODEL_SQL['dominant']}) AND ({GATES_SQL}) AND NOT ({STRICT_SQL}) GROUP BY proband")
 def strict_missing_dropped(c: Cohort) -> DataFrame:
     return family.strict_missing_dropped(_rows(c), "dominant", **LIMITS)
 
 
 @query(f"""{TRIO_SQL} SELECT proband, count(*) AS model, {', '.join(f"count(*) FILTER (WHERE {' AND '.join(f'({g})' for _, g in _gate_sql()[:i + 1])}) AS {n}" for i, (n, _) in enumerate(_gate_sql()))}
-FROM trio WHERE {family.MODELS['dominant']} GROUP BY proband""")
+FROM trio WHERE {MODEL_SQL['dominant']} GROUP BY proband""")
 def gate_funnel(c: Cohort) -> DataFrame:
     return family.funnel(_rows(c), "dominant", **LIMITS)
 
@@ -286,11 +293,70 @@ def x_linked_classes(c: Cohort) -> DataFrame:
     return family.x_linked_counts(_rows(c))
 
 
-@query(X_SQL + """SELECT proband, chrom, pos, ref, alt, x_class, CASE WHEN x_class LIKE 'xlr%' THEN 'recessive' WHEN x_class LIKE 'x_denovo%' THEN 'denovo' ELSE 'female_het' END AS mode FROM x
-WHERE (x_class LIKE 'xlr%' OR x_class LIKE 'x_denovo%' OR x_class LIKE 'xhet%') AND (g_gq IS NULL OR g_gq >= 5) AND (g_dp IS NULL OR g_dp >= 3) AND (m_gq IS NULL OR m_gq >= 5) AND (m_dp IS NULL OR m_dp >= 3)
- AND (sex = 'male' OR ((f_gq IS NULL OR f_gq >= 5) AND (f_dp IS NULL OR f_dp >= 3))) AND (info_AF IS NULL OR info_AF <= 0.02 + 1e-7)""")
+def _balanced(r: str, gt: int, test: str) -> str:
+    return f"coalesce({r}_gt <> {gt} OR {r}_ad_ref IS NULL OR {r}_ad_alt IS NULL OR {r}_ad_ref + {r}_ad_alt = 0 OR {r}_ad_alt / ({r}_ad_ref + {r}_ad_alt) {test}, true)"
+
+
+X_LIMITS = {"min_gq": 6, "min_dp": 5, "min_ab": 0.05, "max_ab": 0.95, "max_af": 0.02, "max_af_x": 0.018, "min_hemi_ab": 0.1, "max_parent_alt_reads": 6}
+X_GATES = f"""(m_gq IS NULL OR m_gq >= 6) AND (m_dp IS NULL OR m_dp >= 5) AND (g_gq IS NULL OR g_gq >= 6) AND (g_dp IS NULL OR g_dp >= CASE WHEN sex = 'male' THEN 2 ELSE 5 END)
+ AND (sex = 'male' OR ((f_gq IS NULL OR f_gq >= 6) AND (f_dp IS NULL OR f_dp >= 2))) AND (sex <> 'male' OR {_balanced('g', 2, '>= 0.1')}) AND {_balanced('g', 1, 'BETWEEN 0.05 AND 0.95')} AND {_balanced('m', 1, 'BETWEEN 0.05 AND 0.95')}
+ AND (info_AF IS NULL OR info_AF <= 0.018 + 1e-7)"""
+X_CAPS = """(NOT (x_class = 'x_denovo_son' OR x_class = 'x_denovo_daughter' OR x_class = 'x_denovo_daughter_mat') OR m_ad_alt IS NULL OR m_ad_alt <= 6)
+ AND (NOT (x_class = 'x_denovo_daughter' OR x_class = 'x_denovo_daughter_pat') OR f_ad_alt IS NULL OR f_ad_alt <= 6)"""
+X_MODE = "CASE WHEN x_class LIKE 'xlr%' THEN 'recessive' WHEN x_class LIKE 'x_denovo%' THEN 'denovo' ELSE 'female_het' END"
+X_FLAG = "CASE WHEN sex = 'male' AND f_gt = 2 THEN 'hemizygous_alt' WHEN sex = 'male' AND f_gt = 1 THEN 'anomalous_het' END"
+X_NAMED = "(x_class LIKE 'xlr%' OR x_class LIKE 'x_denovo%' OR x_class LIKE 'xhet%')"
+
+
+@query(X_SQL + f"SELECT proband, chrom, pos, ref, alt, x_class, {X_MODE} AS mode, {X_FLAG} AS father_flag FROM x WHERE {X_NAMED} AND {X_CAPS} AND {X_GATES}")
 def x_linked_candidates(c: Cohort) -> DataFrame:
-    return family.x_linked_candidates(_rows(c), min_gq=5, min_dp=3, max_af_x=0.02)
+    return family.x_linked_candidates(_rows(c), **X_LIMITS)
+
+
+@query(X_SQL + f"""SELECT proband, x_class, CASE WHEN x_class LIKE 'xhet%' AND n % 2 = 1 AND (x_class = 'xhet_maternal' OR n % 5 <> 0) AND (x_class = 'xhet_paternal' OR n % 7 <> 0) THEN 'dominant' ELSE {X_MODE} END AS mode, count(*) AS n
+FROM (SELECT *, CAST(substr(proband, 2) AS INT) AS n FROM x) WHERE {X_NAMED} AND {X_CAPS} AND {X_GATES} GROUP BY ALL""")
+def x_linked_modes(c: Cohort) -> DataFrame:
+    n = F.substr("proband", F.lit(2)).cast("int")
+    affected = c.pedigree.select(F.col("sample_id").alias("proband")).select("proband", (n % 2 == 1).alias("g"), (n % 5 != 0).alias("f"), (n % 7 != 0).alias("m"))
+    return family.x_linked_candidates(_rows(c), affected=affected, **X_LIMITS).groupBy("proband", "x_class", "mode").agg(F.count("*").alias("n"))
+
+
+GUARD_SQL = "NOT (chrom = 'chrX' AND (pos BETWEEN 2781480 AND 154931043 OR pos BETWEEN 155260561 AND 155701382) AND (coalesce(f_gt = 1, false) OR (sex = 'male' AND g_gt = 1)))"
+
+
+@query(f"{TRIO_SQL} SELECT proband, chrom, count(*) AS n FROM trio WHERE {GUARD_SQL} GROUP BY proband, chrom")
+def x_guarded_rows(c: Cohort) -> DataFrame:
+    return family.x_guarded(_rows(c)).groupBy("proband", "chrom").agg(F.count("*").alias("n"))
+
+
+@query(X_SQL + f"""SELECT proband, gene_symbol, count(*) FILTER (WHERE f_gt = 2) AS paternal, count(*) FILTER (WHERE f_gt = 0) AS maternal,
+ array_to_string(list_sort(list(concat_ws(':', chrom, pos, ref, alt, CASE WHEN f_gt = 2 THEN 'paternal' ELSE 'maternal' END))), ',') AS variants
+FROM (SELECT x.*, gene_symbol FROM x JOIN genes ON x.chrom = genes.chrom AND pos BETWEEN start_pos - 600000 AND end_pos + 600000
+ WHERE sex = 'female' AND g_gt = 1 AND ((f_gt = 2 AND m_gt = 0) OR (f_gt = 0 AND m_gt > 0)) AND {X_GATES.replace('0.018', '0.02')}) GROUP BY proband, gene_symbol HAVING count(*) FILTER (WHERE f_gt = 2) > 0 AND count(*) FILTER (WHERE f_gt = 0) > 0""")
+def x_compound_het(c: Cohort) -> DataFrame:
+    wide = c.genes.select("gene_symbol", "chrom", (F.col("start_pos") - 600_000).alias("start_pos"), (F.col("end_pos") + 600_000).alias("end_pos"))
+    return family.x_compound_het(_rows(c), wide, **(X_LIMITS | {"max_af_x": 0.02}))
+
+
+@query("""SELECT proband, sample_id, role, sex, source, warning, max(blocked) OVER (PARTITION BY proband) AS blocked_reason FROM (
+ SELECT *, CASE WHEN (declared IS NOT NULL AND declared <> told) OR (sure IS NOT NULL AND sure <> told) THEN 'parent_sex_conflict' WHEN told IS NULL AND sex IS NULL THEN 'needs_sex' END AS blocked FROM (
+  SELECT *, coalesce(declared, believed, told) AS sex, CASE WHEN declared IS NOT NULL THEN 'pedigree' WHEN believed IS NOT NULL THEN 'inferred' WHEN told IS NOT NULL THEN 'role' END AS source,
+   CASE WHEN declared <> sure THEN 'sex_conflict' WHEN (declared IS NULL AND doubted) OR (inferred = 'ambiguous' AND (told IS NOT NULL OR declared IS NULL)) THEN 'sex_ambiguous' END AS warning FROM (
+   SELECT *, CASE WHEN NOT coalesce(doubted, false) THEN sure END AS believed FROM (
+    SELECT *, CASE WHEN inferred IN ('male', 'female') THEN inferred END AS sure, CASE role WHEN 'father' THEN 'male' WHEN 'mother' THEN 'female' END AS told, role = 'proband' AND transmitted IS NOT NULL AND inferred IN ('male', 'female') AND transmitted <> inferred AS doubted FROM (
+     SELECT proband, sample_id, role, CASE WHEN n % 4 = 0 THEN 'male' WHEN n % 4 = 1 THEN 'female' END AS declared, CASE n % 5 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'ambiguous' ELSE 'unknown' END AS inferred,
+      CASE WHEN n % 7 = 0 THEN 'male' WHEN n % 7 = 1 THEN 'female' END AS transmitted FROM (
+      SELECT proband, sample_id, role, CAST(substr(sample_id, 2) AS INT) AS n FROM (
+       SELECT sample_id AS proband, sample_id, 'proband' AS role FROM pedigree UNION ALL SELECT sample_id, father_id, 'father' FROM pedigree UNION ALL SELECT sample_id, mother_id, 'mother' FROM pedigree)))))))""")
+def trio_sexes(c: Cohort) -> DataFrame:
+    parts = [c.pedigree.select(F.col("sample_id").alias("proband"), F.col(col).alias("sample_id"), F.lit(role).alias("role")) for col, role in (("sample_id", "proband"), ("father_id", "father"), ("mother_id", "mother"))]
+    n = F.substr("sample_id", F.lit(2)).cast("int")
+    members = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns({
+        "declared": F.when(n % 4 == 0, "male").when(n % 4 == 1, "female"),
+        "inferred": F.when(n % 5 == 0, "male").when(n % 5 == 1, "female").when(n % 5 == 2, "ambiguous").otherwise("unknown"),
+        "transmitted": F.when(n % 7 == 0, "male").when(n % 7 == 1, "female"),
+    })
+    return family.resolved_sexes(members)
 
 
 @query(f"""{TRIO_SQL} SELECT proband, count(*) AS informative, round(avg(CASE WHEN g_gt = 1 THEN 1.0 ELSE 0.0 END), 6) AS carried,
@@ -312,22 +378,94 @@ def cohort_derived_frequency(c: Cohort) -> DataFrame:
     return family.cohort_derived_af(c.variants, c.genotypes, c.samples)
 
 
-@query(f"{TRIO_SQL} SELECT proband, field, known, n, CASE WHEN known >= n THEN 'bound' WHEN known / n >= 0.9 THEN 'partial' ELSE 'unbound' END AS state FROM (" + " UNION ALL ".join(f"SELECT proband, '{x}' AS field, count({x}) AS known, count(*) AS n FROM trio WHERE {family.MODELS['dominant']} GROUP BY proband" for x in ("g_gq", "g_dp", "f_gq", "f_dp", "m_gq", "m_dp")) + ")")
+PRESENCE = {
+    **{f"{r}_{f}": ("true", f"{r}_{f} IS NOT NULL") for r in "gfm" for f in ("gq", "dp")}, "g_ab": ("g_gt = 1", "g_ad_ref IS NOT NULL AND g_ad_alt IS NOT NULL"),
+    **{f"{r}_alt_reads": (f"{r}_gt = 0", f"{r}_ad_ref IS NOT NULL AND {r}_ad_alt IS NOT NULL") for r in "fm"},
+}
+STATE_SQL = "CASE WHEN known >= n THEN 'bound' WHEN known / n >= 0.9 THEN 'partial' ELSE 'unbound' END"
+
+
+def _presence(model: str) -> str:
+    return " UNION ALL ".join(f"SELECT proband, '{k}' AS field, count(*) FILTER (WHERE {of} AND {known}) AS known, count(*) FILTER (WHERE {of}) AS n FROM trio WHERE {MODEL_SQL[model]} GROUP BY proband" for k, (of, known) in PRESENCE.items())
+
+
+@query(f"{TRIO_SQL} SELECT proband, field, known, n, {STATE_SQL} AS state FROM ({_presence('dominant')}) WHERE n > 0")
 def gate_presence(c: Cohort) -> DataFrame:
     return family.gate_presence(_rows(c), "dominant")
 
 
-@query(f"""{TRIO_SQL} SELECT proband, t.chrom, t.pos, t.ref, t.alt, genes, clin_sig FROM (SELECT * FROM trio WHERE {family.MODELS['denovo']}) t
+@query(f"""{TRIO_SQL}, w AS (SELECT proband, regexp_replace(field, '^[gfm]_', '') AS kind, min(known / n) AS share FROM ({_presence('dominant')} UNION ALL {_presence('denovo')}) WHERE n > 0 GROUP BY 1, 2),
+ d AS (SELECT proband, median(g_dp) AS depth FROM trio WHERE g_gt > 0 GROUP BY proband)
+SELECT proband, kind, round(share, 6) AS share, CASE WHEN share >= 1 THEN 'bound' WHEN share >= 0.9 THEN 'partial' ELSE 'unbound' END AS state, coalesce(depth < 1.5 * 16, false) AS thin_coverage FROM w JOIN d USING (proband)""")
+def effective_gates(c: Cohort) -> DataFrame:
+    return rounded(family.effective_gates(_rows(c), ("dominant", "denovo"), 16), "share")
+
+
+@query("""SELECT 'i1' AS ingest_id, count(*) AS sampled, count(g.pos) AS judged, count(g.pos) >= 0.1 * count(*) AS binds
+FROM (SELECT DISTINCT chrom, pos, ref, alt FROM variants WHERE pos % greatest(1, ceil((SELECT count(*) FROM variants) / 500.0)) = 0) v
+LEFT JOIN (SELECT DISTINCT chrom, pos, ref, alt FROM gnomad_af WHERE coalesce(af_grpmax, af) IS NOT NULL) g USING (chrom, pos, ref, alt)""")
+def population_binding(c: Cohort) -> DataFrame:
+    return family.population_binding(c.variants, c.gnomad_af, 500)
+
+
+@query("""SELECT v.ingest_id, count(*) AS sites, count(*) FILTER (WHERE near) AS close, CASE WHEN count(*) = 0 THEN 'unavailable' WHEN NOT (count(*) >= 20 AND count(*) FILTER (WHERE near) >= 0.9 * count(*)) THEN 'applied' ELSE 'skipped_cohort_derived' END AS state
+FROM (SELECT v.ingest_id, abs(info_AF - r) <= CASE WHEN r >= 0.01 THEN 0.01 * r ELSE 0 END + 0.0005 AS near FROM variants v
+ JOIN (SELECT chrom, pos, ref, alt, sum(gt) / (2 * (SELECT count(DISTINCT sample_id) FROM samples)) AS r FROM genotypes GROUP BY ALL HAVING sum(gt) > 0) a USING (chrom, pos, ref, alt) WHERE info_AF IS NOT NULL) v GROUP BY v.ingest_id""")
+def frequency_gate_state(c: Cohort) -> DataFrame:
+    return family.af_gate_state(family.cohort_derived_af(c.variants, c.genotypes, c.samples), asked_for=False)
+
+
+@query(f"{TRIO_SQL} SELECT proband, chrom, pos, ref, alt, f_gt, f_ad_ref, f_ad_alt, m_gt, m_ad_ref, m_ad_alt FROM trio WHERE ({MODEL_SQL['denovo']}) AND {GATES_SQL}")
+def parent_reads(c: Cohort) -> DataFrame:
+    rows = _rows(c)
+    return family.parent_reads(rows, family.candidates(rows, "denovo", **LIMITS))
+
+
+@query(f"""{TRIO_SQL} SELECT proband, t.chrom, t.pos, t.ref, t.alt, genes, clin_sig FROM (SELECT * FROM trio WHERE {MODEL_SQL['denovo']}) t
 LEFT JOIN (SELECT v.chrom, v.pos, v.ref, v.alt, array_to_string(list_sort(list(DISTINCT gene_symbol)), ',') AS genes FROM variants v JOIN genes g ON v.chrom = g.chrom AND v.pos BETWEEN start_pos AND end_pos GROUP BY ALL) USING (chrom, pos, ref, alt)
 LEFT JOIN clinvar_variants USING (chrom, pos, ref, alt)""")
 def annotated_candidates(c: Cohort) -> DataFrame:
-    return family.annotated(_rows(c).where(family.MODELS["denovo"]).select("proband", *C.SITE), c.genes, c.clinvar_variants)
+    return family.annotated(_rows(c).where(family.fits("denovo")).select("proband", *C.SITE), c.genes, c.clinvar_variants)
+
+
+def _preset_sql(limits: dict) -> str:
+    """A preset in SQL: trio rows whose population frequency is low enough, then each model under its gates."""
+    gq, dp = limits["min_gq"], limits["min_dp"]
+    at_least = (lambda x, n: f"coalesce({x} >= {n}, false)") if limits.get("strict") else (lambda x, n: f"({x} IS NULL OR {x} >= {n})")
+    band = f"BETWEEN {limits['min_ab']} AND {limits['max_ab']}"
+    gates = [f"{at_least(f'{r}_gq', gq)} AND {at_least(f'{r}_dp', dp)}" for r in "gfm"] + [_balanced("g", 1, band), f"(info_AF IS NULL OR info_AF <= {limits['max_af']} + 1e-7)", GUARD_SQL]
+    if limits.get("pass_only"):
+        gates.append("filter IS NULL")
+    if share := limits.get("parent_alt_share"):
+        gates += [f"coalesce({r}_ad_alt IS NULL OR {r}_ad_alt < 2 OR {r}_ad_alt / ({r}_ad_ref + {r}_ad_alt) < {share}, true)" for r in "fm"]
+    gates = " AND ".join(f"({g})" for g in gates)
+    parts = [f"SELECT proband, chrom, pos, ref, alt, '{m}' AS model, CAST(NULL AS VARCHAR) AS gene_symbol FROM pr WHERE ({MODEL_SQL[m]}) AND {gates}" for m in limits["models"] if m in MODEL_SQL]
+    if "comphet" in limits["models"]:
+        parts.append(f"""SELECT proband, chrom, pos, ref, alt, 'comphet', gene_symbol FROM (SELECT *, max(f_gt) OVER (PARTITION BY proband, gene_symbol) AS most, min(f_gt) OVER (PARTITION BY proband, gene_symbol) AS least
+         FROM (SELECT q.*, gene_symbol FROM (SELECT * FROM pr WHERE ({MODEL_SQL['dominant']}) AND {gates}) q JOIN genes ON q.chrom = genes.chrom AND pos BETWEEN start_pos - 300000 AND end_pos + 300000)) WHERE most > 0 AND least = 0""")
+    if "xlinked" in limits["models"]:
+        x = f"""(m_gq IS NULL OR m_gq >= {gq}) AND (m_dp IS NULL OR m_dp >= {dp}) AND (g_gq IS NULL OR g_gq >= {gq}) AND (g_dp IS NULL OR g_dp >= CASE WHEN sex = 'male' THEN {dp // 2} ELSE {dp} END)
+         AND (sex = 'male' OR ((f_gq IS NULL OR f_gq >= {gq}) AND (f_dp IS NULL OR f_dp >= {dp // 2}))) AND (sex <> 'male' OR {_balanced('g', 2, '>= 0.75')}) AND {_balanced('g', 1, band)} AND {_balanced('m', 1, band)}
+         AND (info_AF IS NULL OR info_AF <= 0.001 + 1e-7)"""
+        parts.append(f"SELECT proband, chrom, pos, ref, alt, 'xlinked', NULL FROM xp WHERE {X_NAMED} AND {X_CAPS.replace('<= 6', '<= 1')} AND {x}")
+    head = f", pr AS (SELECT trio.* FROM trio LEFT JOIN gnomad_af USING (chrom, pos, ref, alt) WHERE coalesce(af_grpmax, af) IS NULL OR coalesce(af_grpmax, af) <= {limits['gnomad_max_af']} + 1e-7)"
+    x_rows = X_SQL.replace(TRIO_SQL, "").replace(", x AS (", ", xp AS (").replace("FROM trio WHERE", "FROM pr WHERE")
+    return TRIO_SQL + head + x_rows + " UNION ALL ".join(parts)
+
+
+def _preset(name: str):
+    limits = family.PRESETS[name]
+
+    def run(c: Cohort) -> DataFrame:
+        wide = c.genes.select("gene_symbol", "chrom", (F.col("start_pos") - 300_000).alias("start_pos"), (F.col("end_pos") + 300_000).alias("end_pos"))
+        return family.preset(_rows(c), name, wide, c.gnomad_af)
+
+    run.__name__ = f"preset_{name.replace('-', '_')}"
+    query(_preset_sql(limits))(run)
 
 
-@query(f"""{TRIO_SQL} SELECT proband, chrom, pos, ref, alt, g_gt, f_gt, m_gt, info_AF AS af, 'recessive' AS model FROM trio WHERE ({family.MODELS['recessive']}) AND {
-    ' AND '.join(f'({r}_gq IS NULL OR {r}_gq >= 20) AND ({r}_dp IS NULL OR {r}_dp >= 10)' for r in 'gfm')} AND (info_AF IS NULL OR info_AF <= 0.01 + 1e-7)""")
-def preset_rare_recessive(c: Cohort) -> DataFrame:
-    return family.preset(_rows(c), "rare-recessive")
+for _name in family.PRESETS:
+    _preset(_name)
 
 
 @query("""SELECT 'i1' AS ingest_id, sample_id, unnest([father_id, mother_id]) AS other, 'parent-child' AS relation FROM pedigree""")
@@ -450,6 +588,50 @@ def diversity_windows(c: Cohort) -> DataFrame:
     return rounded(out.withColumn("pi_per_mb", F.col("pi_per_bp") * 1e6).drop("pi_per_bp"), "pi", "pi_per_mb")
 
 
+@query(POP_SQL + """, tr AS (SELECT 'i1' AS ingest_id, v.chrom, v.pos, v.ref, v.alt, CASE WHEN p_partkey % 50 <> 0 THEN s.n - coalesce(m.gone, 0) - CASE WHEN p_partkey % 40 = 0 THEN 1 ELSE 0 END END AS n_called, s.n AS n_samples, m.gone FROM variants v CROSS JOIN (SELECT count(DISTINCT sample_id) AS n FROM samples) s
+ LEFT JOIN (SELECT chrom, pos, ref, alt, count(*) AS gone FROM missing_genotypes GROUP BY ALL) m USING (chrom, pos, ref, alt))
+SELECT ingest_id, count(*) FILTER (WHERE n_called IS NULL) AS untracked, count(*) FILTER (WHERE n_called < n_samples AND gone IS NULL) AS unrecorded, count(*) FILTER (WHERE n_called IS NULL) = 0 AND count(*) FILTER (WHERE n_called < n_samples AND gone IS NULL) = 0 AS tracked FROM tr GROUP BY ingest_id""")
+def missing_tracking(c: Cohort) -> DataFrame:
+    return popgen.tracking(_loaded(c), c.samples, c.missing_genotypes)
+
+
+def _loaded(c: Cohort) -> DataFrame:
+    """The variants with counts as if told at their loading: unknown at some, one sample short at others."""
+    total, key = c.samples.agg(F.countDistinct("sample_id").alias("__n")), ["ingest_id", *C.SITE]
+    gone = c.missing_genotypes.groupBy(*key).agg(F.count("*").alias("__gone"))
+    alt = c.genotypes.groupBy(*key).agg(F.sum("gt").cast("long").alias("__ac"))
+    site = c.variants.join(gone, key, "left").join(alt, key, "left").crossJoin(F.broadcast(total))
+    n_called = F.when(F.col("p_partkey") % 50 != 0, F.col("__n") - F.coalesce("__gone", F.lit(0)) - F.when(F.col("p_partkey") % 40 == 0, 1).otherwise(0))
+    return site.withColumns({"n_called": n_called, "an_called": 2 * n_called, "ac_called": F.coalesce("__ac", F.lit(0))}).drop("__n", "__gone", "__ac")
+
+
+@query(POP_SQL + """, ex AS (SELECT chrom, pos, ref, alt, any_value(filter) AS filter, sum(called) AS called, sum(k) AS k, sum(n) AS n, min(called / size) AS rate FROM pc GROUP BY chrom, pos, ref, alt)
+SELECT CASE WHEN chrom = 'chrX' THEN 'non_autosomal' WHEN ex.filter IS NOT NULL THEN 'filter' WHEN p_partkey % 40 = 0 AND p_partkey % 50 <> 0 THEN 'inexact_group_counts' WHEN rate < 0.6 - 1e-12 THEN 'call_rate'
+ WHEN coalesce(least(k, n - k) / nullif(n, 0), 0) < 0.02 - 1e-12 THEN 'maf' ELSE 'kept' END AS reason, count(*) AS sites FROM ex JOIN variants USING (chrom, pos, ref, alt) GROUP BY 1""")
+def site_filters_exact(c: Cohort) -> DataFrame:
+    counted = popgen.counts(_loaded(c), c.genotypes, c.missing_genotypes, popgen.groups(c.samples, "super_population"))
+    return popgen.reasons(counted, **FILTERS)
+
+
+@query(POP_SQL + PROJECTED_SQL + f"""SELECT grp, sites, round(s, 6) AS s, round(pi, 6) AS pi, round(s / {_T['a1']}, 6) AS theta_w, round(theta_l, 6) AS theta_l, round(theta_h, 6) AS theta_h
+FROM (SELECT grp, coalesce(sum(sites) FILTER (WHERE j BETWEEN 1 AND {M - 1}), 0) AS s, coalesce(sum(2 * j * ({M} - j) * sites) FILTER (WHERE j BETWEEN 1 AND {M - 1}), 0) / {M * (M - 1)} AS pi,
+ coalesce(sum(j * sites) FILTER (WHERE j BETWEEN 1 AND {M - 1}), 0) / {M - 1} AS theta_l, coalesce(sum(2 * j * j * sites) FILTER (WHERE j BETWEEN 1 AND {M - 1}), 0) / {M * (M - 1)} AS theta_h FROM pj GROUP BY grp)
+JOIN (SELECT grp, count(*) AS sites FROM dv WHERE d IS NOT NULL AND n >= {M} GROUP BY grp) USING (grp)""")
+def projected_estimates(c: Cohort) -> DataFrame:
+    return rounded(popgen.projected_thetas(popgen.polarised(popgen.kept(_counts(c), **FILTERS)), M), "s", "pi", "theta_w", "theta_l", "theta_h")
+
+
+@query("""SELECT chrom, pos, ref, alt FROM (SELECT *, row_number() OVER (ORDER BY chrom, pos, ref, alt) - 1 AS k, count(*) OVER () AS t FROM (SELECT DISTINCT chrom, pos, ref, alt FROM variants WHERE chrom <> 'chrX')) WHERE (k * 300) % t = 0 OR (k * 300) % t > t - 300""")
+def thinned_sites(c: Cohort) -> DataFrame:
+    return relatedness.usable_sites(c.variants, max_sites=300).select(*C.SITE)
+
+
+@query("""SELECT chrom, CAST(row_number() OVER (ORDER BY CASE WHEN chrom = 'chrX' THEN 1 ELSE 0 END, CASE WHEN chrom = 'chrX' THEN 0 ELSE CAST(substr(chrom, 4) AS INT) END) AS INT) AS place FROM (SELECT DISTINCT chrom FROM variants)""")
+def natural_order(c: Cohort) -> DataFrame:
+    order = Window.orderBy(*P.contig_order(F.col("chrom")))  # a row for each contig
+    return c.variants.select("chrom").distinct().withColumn("place", F.row_number().over(order))
+
+
 # --- concordance
 
 CONF = "(SELECT chrom, min(pos) AS start_pos, min(pos) + 700000 AS end_pos FROM truth GROUP BY chrom)"
@@ -533,7 +715,7 @@ def combined_sets(c: Cohort) -> DataFrame:
 @query("""SELECT k.chrom, k.pos, k.ref, k.alt, 'truth:S' AS sample_id, t.gt FROM (SELECT chrom, pos, ref, alt FROM truth UNION SELECT chrom, pos, ref, alt FROM query) k LEFT JOIN truth t USING (chrom, pos, ref, alt)
 UNION ALL SELECT k.chrom, k.pos, k.ref, k.alt, 'query:S', q.gt FROM (SELECT chrom, pos, ref, alt FROM truth UNION SELECT chrom, pos, ref, alt FROM query) k LEFT JOIN query q USING (chrom, pos, ref, alt)""")
 def merged_samples(c: Cohort) -> DataFrame:
-    return combine.merge_samples({"truth": c.truth.withColumn("sample_id", F.lit("S")), "query": c.query.withColumn("sample_id", F.lit("S"))})
+    return combine.filled(combine.merge_samples({"truth": c.truth.withColumn("sample_id", F.lit("S")), "query": c.query.withColumn("sample_id", F.lit("S"))}))
 
 
 @query("SELECT chrom, pos, ref, alt, af, af_grpmax FROM gnomad_af WHERE pos % 2000 <> 0 UNION ALL SELECT chrom, pos, ref, alt, 0.5 AS af, NULL AS af_grpmax FROM variants WHERE pos % 2000 = 0")
@@ -542,6 +724,78 @@ def load_replaces(c: Cohort) -> DataFrame:
     return annotations.latest_wins(c.gnomad_af, new, C.SITE)
 
 
+# --- normalisation
+
+
+@query("""SELECT chrom, pos + i AS pos, substr(r, i + 1, 1) AS ref, substr(a, i + 1, 1) AS alt FROM (SELECT chrom, pos, r, a, unnest(range(0, length(r))) AS i FROM (SELECT chrom, pos, concat(ref, 'AC', alt) AS r, concat(alt, 'AG', ref) AS a FROM truth)) WHERE substr(r, i + 1, 1) <> substr(a, i + 1, 1)
+UNION ALL SELECT chrom, pos + 1, 'A', 'ATT' FROM query""")
+def atomized_calls(c: Cohort) -> DataFrame:
+    long = c.truth.select("chrom", "pos", F.concat("ref", F.lit("AC"), "alt").alias("ref"), F.concat("alt", F.lit("AG"), "ref").alias("alt"))
+    insertion = c.query.select("chrom", "pos", F.concat("ref", F.lit("A")).alias("ref"), F.concat("ref", F.lit("ATT")).alias("alt"))
+    none = c.truth.select(F.lit("none").alias("chrom"), F.lit("A").alias("sequence")).limit(1)
+    return concord.normalised(long.unionByName(insertion), none)
+
+
+@query("""SELECT concat(chrom, '_', CAST(pos AS VARCHAR)) AS chrom, CAST(3 AS BIGINT) AS pos, concat('G', substr(repeat('AC', 1 + CAST(pos % 3 AS INT)), 1, 2)) AS ref, 'G' AS alt FROM (SELECT DISTINCT chrom, pos FROM truth)""")
+def left_aligned_calls(c: Cohort) -> DataFrame:
+    """A deletion of one unit of a repeat, told at its last unit, on contigs of their own."""
+    at = c.truth.select(F.concat_ws("_", "chrom", F.col("pos").cast("string")).alias("chrom"), (1 + F.col("pos") % 3).cast("int").alias("units")).distinct()
+    calls = at.select("chrom", (F.lit(1) + 2 * F.col("units")).cast("long").alias("pos"), F.when(F.col("units") == 1, "GAC").otherwise("CAC").alias("ref"), F.when(F.col("units") == 1, "G").otherwise("C").alias("alt"))
+    return concord.normalised(calls, at.select("chrom", F.concat(F.lit("TTG"), F.repeat(F.lit("AC"), F.col("units")), F.lit("TT")).alias("sequence")), decompose=False)
+
+
+@query("SELECT chrom, pos, ref, a AS alt, CASE a WHEN alt THEN '0/1' ELSE '0/1' END AS gt FROM (SELECT chrom, pos, ref, alt, unnest([alt, 'T' || alt]) AS a FROM truth)")
+def split_alleles(c: Cohort) -> DataFrame:
+    return concord.biallelic(c.truth.select("chrom", "pos", "ref", F.concat_ws(",", "alt", F.concat(F.lit("T"), "alt")).alias("alt"), F.lit("1/2").alias("gt")))
+
+
+@query("SELECT chrom, pos, CASE gt WHEN 2 THEN '1/1' ELSE '0/1' END AS gt, CASE WHEN pos % 3 = 0 THEN 'symbolic' END AS excluded FROM truth")
+def comparable_calls(c: Cohort) -> DataFrame:
+    calls = c.truth.select("chrom", "pos", "ref", F.when(F.col("pos") % 3 == 0, "<DEL>").otherwise(F.col("alt")).alias("alt"), concord.canonical_gt(F.when(F.col("gt") == 2, "1/1").otherwise("1/0")).alias("gt"))
+    return concord.comparable(calls).select("chrom", "pos", "gt", "excluded")
+
+
+# --- transcripts
+
+EXON_SQL = """, ex AS (SELECT concat('T', CAST(k AS VARCHAR), '_', gene_symbol) AS transcript_id, gene_symbol, i AS exon_number, chrom, start_pos + i * 15000 + k * 2000 AS start_pos, start_pos + i * 15000 + k * 2000 + 5000 AS end_pos, k = 0 AND CAST(substr(gene_symbol, 2) AS INT) % 3 <> 0 AS is_canonical
+ FROM genes CROSS JOIN range(0, 4) e(i) CROSS JOIN range(0, 2) t(k)) """
+
+
+def _exons(c: Cohort) -> DataFrame:
+    many = c.genes.withColumn("exon_number", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    first = F.col("start_pos") + F.col("exon_number") * 15_000 + F.col("k") * 2_000
+    canonical = (F.col("k") == 0) & (F.substr("gene_symbol", F.lit(2)).cast("int") % 3 != 0)
+    return many.select(F.concat_ws("_", F.concat(F.lit("T"), "k"), "gene_symbol").alias("transcript_id"), "gene_symbol", "exon_number", "chrom", first.alias("start_pos"), (first + 5_000).alias("end_pos"), canonical.alias("is_canonical"))
+
+
+@query(EXON_SQL + "SELECT v.chrom, v.pos, ex.transcript_id, CAST(ex.exon_number AS INT) AS exon_number FROM (SELECT DISTINCT chrom, pos FROM variants) v JOIN ex ON v.chrom = ex.chrom AND v.pos BETWEEN ex.start_pos AND ex.end_pos")
+def exons_at_position(c: Cohort) -> DataFrame:
+    return annotations.exons_at(c.variants.select("chrom", "pos").distinct(), _exons(c)).select("chrom", "pos", "transcript_id", "exon_number")
+
+
+@query(EXON_SQL + """, best AS (SELECT * FROM (SELECT *, bool_or(is_canonical) OVER (PARTITION BY gene_symbol) AS anyone FROM ex) WHERE is_canonical OR NOT anyone)
+SELECT gene_symbol, chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM (SELECT *, sum(n) OVER (PARTITION BY gene_symbol, chrom ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS no FROM (
+ SELECT *, CASE WHEN start_pos <= max(end_pos) OVER (PARTITION BY gene_symbol, chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM best)) GROUP BY gene_symbol, chrom, no""")
+def coding_regions(c: Cohort) -> DataFrame:
+    exons = _exons(c)
+    return annotations.coding_regions(exons.drop("gene_symbol", "is_canonical"), exons.select("transcript_id", "gene_symbol", "is_canonical").distinct())
+
+
+@query(EXON_SQL + "SELECT v.chrom, v.pos, CAST(min(least(abs(v.pos - ex.start_pos), abs(v.pos - ex.end_pos))) AS BIGINT) AS distance FROM (SELECT DISTINCT chrom, pos FROM variants) v LEFT JOIN ex ON v.chrom = ex.chrom GROUP BY v.chrom, v.pos")
+def splice_distances(c: Cohort) -> DataFrame:
+    return annotations.splice_distance(c.variants.select("chrom", "pos").distinct(), _exons(c))
+
+
+@query(EXON_SQL + "SELECT DISTINCT transcript_id, gene_symbol, is_canonical FROM ex WHERE gene_symbol = 'G7'")
+def gene_transcripts(c: Cohort) -> DataFrame:
+    return annotations.transcripts_of(_exons(c).select("transcript_id", "gene_symbol", "is_canonical").distinct(), "g7")
+
+
+@query("SELECT sample_id, chrom, pos, ref, alt, gt FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY dp DESC, chrom, pos, ref, alt) AS r FROM genotypes) WHERE r = 1")
+def deepest_call(c: Cohort) -> DataFrame:
+    return annotations.first_per_key(c.genotypes, ["sample_id"], [F.desc("dp"), *C.SITE]).select("sample_id", *C.SITE, "gt")
+
+
 # --- scopes
 
 SCOPE_SQL = "EXISTS (SELECT 1 FROM genes g WHERE g.chrom = v.chrom AND v.pos BETWEEN greatest(g.start_pos - 5000, 1) AND g.end_pos + 5000 AND CAST(substr(g.gene_symbol, 2) AS INT) % 7 = 0)"

@@ -118,12 +118,23 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get("c", 0).alias("chrom"), (F.get("c", 1).cast("long") + 1).alias("start_pos"), F.get("c", 2).cast("long").alias("end_pos"), F.get("c", 3).alias("name")).where("start_pos <= end_pos")
 
 
-def read_fasta(spark: SparkSession, path: str, piece: int = 1_000_000) -> DataFrame:
-    """chrom and sequence; a contig's lines are joined in file order."""
-    lines = spark.read.text(path).withColumn("__n", F.monotonically_increasing_id())
-    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
-    named = lines.withColumn("chrom", F.last(head, True).over(Window.orderBy("__n").rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("value").startswith(">"))
-    return named.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "value"))), lambda x: F.upper(x["value"])), "").alias("sequence"))
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start (from 1) and bases of each line; `concord.gridded` joins them to pieces.
+
+    The few header lines tell every line its contig; positions are sums of lengths within a contig's lines of each input
+    part, shifted by those of the parts before.
+    """
+    lines = spark.read.text(path).withColumn("__n", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__n", 33))
+    heads = lines.where(F.col("value").startswith(">")).select("__n", F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom")).orderBy("__n").collect()  # a row for each contig
+    if not heads:
+        return lines.select(F.lit(None).cast("string").alias("chrom"), F.lit(1).cast("long").alias("start"), F.col("value").alias("bases")).limit(0)
+    spans = spark.createDataFrame([(h.chrom, h["__n"], n["__n"] if n else None) for h, n in zip(heads, [*heads[1:], None], strict=True)], "chrom string, __from long, __to long")
+    inside = (F.col("__n") > F.col("__from")) & (F.col("__to").isNull() | (F.col("__n") < F.col("__to")))
+    named = lines.where(~F.col("value").startswith(">")).withColumn("bases", F.upper(F.trim("value"))).join(F.broadcast(spans), inside)
+    total = named.groupBy("chrom", "__part").agg(F.sum(F.length("bases")).alias("__l"))
+    shift = total.withColumn("__before", F.coalesce(F.sum("__l").over(Window.partitionBy("chrom").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__l")
+    own = F.coalesce(F.sum(F.length("bases")).over(Window.partitionBy("chrom", "__part").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return named.withColumn("__own", own).join(shift, ["chrom", "__part"]).select("chrom", (F.col("__own") + F.col("__before") + 1).cast("long").alias("start"), "bases").where(F.length("bases") > 0)
 
 
 # --- stored tables

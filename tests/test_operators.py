@@ -36,6 +36,43 @@ def test_left_align_against_brute_force():
 
 def test_atomize():
     assert concord.atomize(5, "ACG", "ATG") == [(6, "C", "T")] and concord.atomize(5, "A", "AT") == [(5, "A", "AT")]
+    # substitutions first, the change of length behind the last base that both have
+    assert concord.atomize(10, "ACGT", "TCA") == [(10, "A", "T"), (12, "GT", "A")] and concord.atomize(3, "AC", "GTT") == [(3, "A", "G"), (4, "C", "TT")]
+    assert concord.atomize(7, "CAC", "C") == [(7, "CAC", "C")]
+
+
+def test_trim_against_brute_force():
+    r = random.Random(2)
+    for _ in range(3000):
+        ref, alt = ("".join(r.choice("AC") for _ in range(r.randint(1, 6))) for _ in range(2))
+        p, a, b = concord.trim(100, ref, alt)
+        end = next(k for k in range(min(len(ref), len(alt)), -1, -1) if k < min(len(ref), len(alt)) and (k == 0 or ref[-k:] == alt[-k:]))
+        x, y = ref[: len(ref) - end], alt[: len(alt) - end]
+        begin = next(k for k in range(min(len(x), len(y)) - 1, -1, -1) if x[:k] == y[:k])
+        assert (p, a, b) == (100 + begin, x[begin:], y[begin:]), (ref, alt)
+
+
+def test_phase_is_kept():
+    bases, record = "GGACGG", lambda pos, ref, alt, gt=1, side=None: {"pos": pos, "ref": ref, "alt": alt, "gt": gt, "side_of": side}
+    cis = concord._haplotypes([record(13, "AC", "TG")], 11, bases)
+    trans = concord._haplotypes([record(13, "A", "T", side=0), record(14, "C", "G", side=1)], 11, bases)
+    free = concord._haplotypes([record(13, "A", "T"), record(14, "C", "G")], 11, bases)
+    assert cis == {("GGACGG", "GGTGGG")} and trans == {("GGAGGG", "GGTCGG")} and free == cis | trans
+    assert concord._haplotypes([record(11 + i, "G", "A") for i in range(16)], 11, "G" * 20) == set()
+
+
+def test_alignment_goes_on_in_the_piece_before(spark, monkeypatch):
+    monkeypatch.setattr(concord, "PIECE", 4)
+    seq = "GG" + "AC" * 9 + "TT"
+    calls = spark.createDataFrame([("c", 18, "CAC", "C", 1), ("c", 4, "C", "CAC", 2), ("c", 5, "A", "G", 3), ("d", 9, "TTT", "T", 4)], "chrom string, pos long, ref string, alt string, no int")
+    rows = concord.normalised(calls, spark.createDataFrame([("c", seq)], "chrom string, sequence string")).collect()
+    assert sorted(tuple(r) for r in rows) == [("c", 2, "G", "GAC", 2), ("c", 2, "GAC", "G", 1), ("c", 5, "A", "G", 3), ("d", 9, "TTT", "T", 4)]
+
+
+def test_comparable(spark):
+    calls = spark.createDataFrame([("c", 2, "CG", "C", "1/0"), ("c", 2, "CT", "C", "0|1"), ("c", 1, "A", "<DEL>", "./1"), ("chrM", 5, "A", "T", "1"), ("x", 1, "A", "*", "0/1")], "chrom string, pos long, ref string, alt string, gt string")
+    rows = concord.comparable(calls, spark.createDataFrame([("c", "ACG")], "chrom string, sequence string")).withColumn("gt", concord.canonical_gt(concord.F.col("gt"))).collect()
+    assert sorted((r.chrom, r.ref, r.gt, r.excluded or "") for r in rows) == [("c", "A", "./1", "symbolic"), ("c", "CG", "0/1", ""), ("c", "CT", "0|1", "ref_mismatch"), ("chrM", "A", "1/1", ""), ("x", "A", "0/1", "symbolic")]
 
 
 def test_normalised(spark):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genolith.functions.guard import Refused, ask, checked
+from genolith.operators import concord
 from genolith.sources import tables, vcf
 from genolith.streaming.ingest import follow
 
@@ -78,7 +79,9 @@ def test_side_files(spark, tmp_path):
     assert sorted((r.chrom, r.alt, r.af, r.af_grpmax) for r in af) == [("chr1", "C", 0.1, 0.3), ("chr1", "G", 0.2, None)]
     names = tables.read_gene_aliases(spark, put("h.tsv", "hgnc_id\tsymbol\tstatus\tprev_symbol\talias_symbol\nH:1\tAB\tApproved\tOLD|OLDER\tNICK\nH:2\tGONE\tWithdrawn\tX\tY\n"))
     assert {(r.alias, r.kind) for r in names.collect()} == {("OLD", "previous"), ("OLDER", "previous"), ("NICK", "alias"), ("H:1", "hgnc_id")}
-    assert tables.read_fasta(spark, put("r.fa", ">c1 x\nacg\nTT\n>c2\nG\n")).orderBy("chrom").collect() == [("c1", "ACGTT"), ("c2", "G")]
+    lines = tables.read_fasta(spark, put("r.fa", ">c1 x\nacg\nTT\n>c2\nG\n"))
+    assert lines.orderBy("chrom", "start").collect() == [("c1", 1, "ACG"), ("c1", 4, "TT"), ("c2", 1, "G")]
+    assert concord.gridded(lines, 2).orderBy("chrom", "piece").collect() == [("c1", 0, "AC"), ("c1", 1, "GT"), ("c1", 2, "T"), ("c2", 0, "G")]
 
 
 def test_replace_and_roll_back(spark, tmp_path):
