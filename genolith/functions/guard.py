@@ -9,6 +9,15 @@ _REFUSED = ("Command", "Insert", "Create", "Drop", "Alter", "Set", "Delete", "Up
 _BLOCKED_FUNCTIONS = ("java_method", "reflect", "try_reflect", "input_file_name", "read_files")
 
 
+#: Statements that tell about tables and plans.
+_TELLING = ("ExplainCommand", "DescribeRelation", "ShowTables", "ShowTablesCommand", "ShowColumns")
+
+
+def _named(plan) -> set[str]:
+    """The tables that a describing statement names."""
+    return {node.multipartIdentifier().mkString(".").lower() for node in _nodes(plan) if hasattr(node, "multipartIdentifier") and node.getClass().getSimpleName().startswith("Unresolved")}
+
+
 class Refused(ValueError):
     """A statement that isn't a plain query."""
 
@@ -31,6 +40,16 @@ def checked(spark: SparkSession, sql: str, tables: set[str]) -> str:
         raise Refused(f"not one valid statement: {str(e).splitlines()[0]}") from e
     text = plan.toString()
     names, withs = set(), set()
+    told = plan.getClass().getSimpleName()
+    if told == "ExplainCommand":
+        plan = plan.logicalPlan()
+    if told in _TELLING and told != "ExplainCommand":
+        known = {t.lower() for t in tables}
+        if told in ("DescribeRelation", "ShowColumns") and (unknown := {n for n in _named(plan) if n not in known}):
+            raise Refused(f"unknown tables: {', '.join(sorted(unknown))}")
+        return sql
+    if told.startswith(("Show", "Describe")):
+        raise Refused(f"{told} isn't a query")
     for node in _nodes(plan):
         kind = node.getClass().getSimpleName()
         if any(kind.startswith(x) or kind.endswith("Command") or kind == "UnresolvedTableValuedFunction" for x in _REFUSED):

@@ -1,12 +1,15 @@
-"""Pairwise KING-robust kinship in sparse algebra: only calls that differ from the reference, and missing ones, are joined.
+"""Pairwise KING-robust kinship from calls that differ from the reference, and missing ones.
 
-With absence meaning a reference call, het/het and opposite-homozygote sites come from joins of carriers at a site;
-sites at which both are called follow from inclusion and exclusion over missing calls. No dense site-by-sample matrix
-is made. A site's carriers meet in pairs, which the statistic needs; common variants can be thinned by max_sites.
+With absence meaning a reference call, het/het and opposite-homozygote sites follow from counts of common sites by
+inclusion and exclusion. Those are products of indicator matrices (heterozygous, homozygous, missing) of samples by
+sites, made for a bounded number of sites at a time and summed, so a common variant costs no row for each pair of its
+carriers. What is shuffled is the calls once, and a row for each pair of samples and group of sites.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ from .ranges import ranked, small
 DUPLICATE, FIRST, SECOND, THIRD, PARENT_IBS0 = 0.354, 0.177, 0.0884, 0.0442, 0.005
 
 
+#: Sites whose calls are one group: an indicator matrix has so many columns.
+GROUP_SITES = 2048
+
+
 def usable_sites(variants: DataFrame, pass_only: bool = False, max_sites: int | None = None) -> DataFrame:
     """Biallelic single-base sites of numbered contigs; beyond max_sites, evenly thinned to as many."""
     sites = variants.where(P.is_autosome_like(F.col("chrom")) & P.is_snv())
@@ -35,6 +42,27 @@ def thinned(sites: DataFrame, most: int) -> DataFrame:
     return rank.join(small(total), "ingest_id").where((F.col("__total") <= most) | (step == 0) | (step > F.col("__total") - most)).select(*sites.columns)
 
 
+#: Counts of sites that two samples a < b have in common: what a has there, then b.
+COMMON = ("hethet", "homhom", "hom_het", "het_hom", "both_gone", "gone_het", "het_gone", "gone_hom", "hom_gone")
+
+
+def _common_sites(frame: pd.DataFrame) -> pd.DataFrame:
+    names, who = np.unique(frame["sample_id"].to_numpy(str), return_inverse=True)
+    _, site = np.unique(frame["__site"].to_numpy(), return_inverse=True)
+    gt = frame["gt"].to_numpy()
+
+    def indicator(value: int) -> np.ndarray:
+        out = np.zeros((len(names), int(site.max()) + 1), np.float32)
+        out[who[gt == value], site[gt == value]] = 1
+        return out
+
+    het, hom, gone = indicator(1), indicator(2), indicator(-1)
+    found = {"hethet": het @ het.T, "homhom": hom @ hom.T, "hom_het": hom @ het.T, "both_gone": gone @ gone.T, "gone_het": gone @ het.T, "gone_hom": gone @ hom.T}
+    found |= {"het_hom": found["hom_het"].T, "het_gone": found["gone_het"].T, "hom_gone": found["gone_hom"].T}
+    a, b = np.nonzero(np.triu(sum(found.values()), 1))
+    return pd.DataFrame({"ingest_id": frame["ingest_id"].iloc[0], "a": names[a], "b": names[b], **{c: found[c][a, b].astype(np.int64) for c in COMMON}})
+
+
 def kinship(genotypes: DataFrame, missing: DataFrame, samples: DataFrame, sites: DataFrame) -> DataFrame:
     """A row for each pair of samples (a < b): n_sites, hethet, ibs0, het_pair and kinship."""
     calls = genotypes.where("gt > 0").join(sites, KEY, "left_semi").select(*KEY, "sample_id", "gt")
@@ -43,13 +71,10 @@ def kinship(genotypes: DataFrame, missing: DataFrame, samples: DataFrame, sites:
     every = calls.unionByName(gone)
     # all that a sample has by itself
     single = every.groupBy("ingest_id", "sample_id").agg(F.count_if(F.col("gt") == 1).alias("het"), F.count_if(F.col("gt") == 2).alias("hom"), F.count_if(F.col("gt") == -1).alias("gone"))
-    left = every.select(*KEY, F.col("sample_id").alias("a"), F.col("gt").alias("x"))
-    right = every.select(*KEY, F.col("sample_id").alias("b"), F.col("gt").alias("y"))
-    n = lambda c: F.count_if(F.expr(c))
-    met = left.join(right, KEY).where("a < b").groupBy("ingest_id", "a", "b").agg(
-        n("x = 1 and y = 1").alias("hethet"), n("x = 2 and y = 2").alias("homhom"), n("x = 2 and y = 1").alias("hom_het"), n("x = 1 and y = 2").alias("het_hom"),
-        n("x = -1 and y = -1").alias("both_gone"), n("x = -1 and y = 1").alias("gone_het"), n("x = 1 and y = -1").alias("het_gone"), n("x = -1 and y = 2").alias("gone_hom"), n("x = 2 and y = -1").alias("hom_gone"),
-    )
+    groups = max(1, -(-sites.count() // GROUP_SITES))
+    dealt = every.withColumn("__site", F.xxhash64("chrom", "pos", "ref", "alt")).select("ingest_id", F.pmod("__site", F.lit(groups)).alias("__group"), "__site", "sample_id", F.col("gt").cast("int").alias("gt"))
+    counted = dealt.groupBy("ingest_id", "__group").applyInPandas(_common_sites, "ingest_id string, a string, b string, " + ", ".join(f"{c} long" for c in COMMON))
+    met = counted.groupBy("ingest_id", "a", "b").agg(*(F.sum(c).alias(c) for c in COMMON))
     who = samples.select("ingest_id", "sample_id").distinct().join(small(single), ["ingest_id", "sample_id"], "left").fillna(0, ["het", "hom", "gone"])
     side = lambda s: who.select("ingest_id", F.col("sample_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("het", "hom", "gone")))
     pairs = side("a").join(side("b"), "ingest_id").where("a < b").join(met, ["ingest_id", "a", "b"], "left").join(F.broadcast(total), "ingest_id").fillna(0)

@@ -107,6 +107,8 @@ def test_follow(spark, tmp_path):
 def test_guard(spark):
     t = {"things": spark.range(3)}
     assert ask(spark, "WITH a AS (SELECT * FROM things) SELECT count(*) AS n FROM a WHERE id IN (SELECT id FROM things)", t).first().n == 3
-    for bad in ("DROP TABLE things", "SELECT * FROM parquet.`/x`", "SELECT * FROM other", "SELECT 1; SELECT 2", "SET a=b", "INSERT INTO things VALUES (1)", "SELECT java_method('a', 'b')", "SELECT * FROM things WHERE id IN (SELECT id FROM secret)", "SELECT * FROM range(9)"):
+    for good in ("DESCRIBE things", "SHOW TABLES", "SHOW COLUMNS IN things", "EXPLAIN FORMATTED SELECT * FROM things"):
+        assert checked(spark, good, {"things"}) == good
+    for bad in ("DROP TABLE things", "SELECT * FROM parquet.`/x`", "SELECT * FROM other", "SELECT 1; SELECT 2", "SET a=b", "INSERT INTO things VALUES (1)", "SELECT java_method('a', 'b')", "SELECT * FROM things WHERE id IN (SELECT id FROM secret)", "SELECT * FROM range(9)", "DESCRIBE other", "EXPLAIN SELECT * FROM other", "EXPLAIN DROP TABLE things", "SHOW FUNCTIONS", "SHOW COLUMNS IN other"):
         with pytest.raises(Refused):
             checked(spark, bad, {"things"})
