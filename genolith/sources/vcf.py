@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cohort import KEY, SITE
+from ..operators.cohort import KEY
+from ..operators.predicates import contig_order
 
 # INFO fields with a column of their own, by type, and FORMAT fields by shape.
 INFO_LONG = ("AC", "AN", "DP", "MQ0", "NS", "END", "MLEAC", "HAPCOMP")
@@ -120,26 +121,69 @@ def read_vcf(spark: SparkSession, path: str, ingest_id: str, cohort: str = "defa
     return {"variants": variants, "genotypes": genotypes, "missing_genotypes": gone if record_missing else gone.limit(0), "samples": samples, "ingestions": ingestion}
 
 
+def read_batch(spark: SparkSession, manifest: str, **options) -> dict[str, DataFrame]:
+    """The tables of all files of a manifest: lines of vcf_path, ingest_id and (if told) cohort, separated by tabs."""
+    cells = F.split("value", "\t")
+    lines = spark.read.text(manifest).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(*(F.trim(F.get(cells, i)).alias(c) for i, c in enumerate(("path", "ingest_id", "cohort"))))
+    files = [r for r in lines.collect() if r.path != "vcf_path"]  # one row a file
+    if repeated := {r.ingest_id for r in files if sum(x.ingest_id == r.ingest_id for x in files) > 1}:
+        raise ValueError(f"repeated ingestions: {', '.join(sorted(repeated))}")
+    out: dict[str, DataFrame] = {}
+    for r in files:
+        for name, df in read_vcf(spark, r.path, r.ingest_id, r.cohort or "default", **options).items():
+            out[name] = out[name].unionByName(df) if name in out else df
+    return out
+
+
+def verified(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, if they hold a variant for every ALT allele of the file's records; else an error."""
+    records = _records(spark, path).agg(F.sum(F.size(F.split("alt", ","))).alias("n")).first().n or 0
+    if (found := tables["variants"].count()) != records:
+        raise ValueError(f"{path} has {records} ALT alleles, {found} were read")
+    return tables
+
+
+def clamped(spark: SparkSession, path: str) -> DataFrame:
+    """field and how many of its values are beyond the largest that is stored, of the FORMAT fields that have any."""
+    cells = _records(spark, path).select("keys", F.explode("cells").alias("cell")).select("keys", F.split("cell", ":").alias("values"))
+    one = cells.select(F.posexplode("keys").alias("i", "field"), "values").select("field", F.explode(F.split(F.coalesce(F.get("values", F.col("i")), F.lit("")), ",")).alias("v"))
+    most = F.when(F.col("field") == "PS", MOST_PS).otherwise(MOST_INT)
+    return one.where(F.col("field").isin(*FORMAT_INT, *FORMAT_PAIRS, "PL", "PS") & (F.col("v").try_cast("long") > most)).groupBy("field").agg(F.count("*").alias("n"))
+
+
+def _info(columns: list[str]) -> Column:
+    """The INFO text of a variant row: typed fields, flags, then what overflowed, by name."""
+    typed = [F.concat(F.lit(f"{k}="), F.col(f"info_{k}").cast("string")) for k in (*INFO_LONG, *INFO_DOUBLE, *INFO_TEXT) if f"info_{k}" in columns]
+    flags = [F.when(F.col(f"info_{k}") == 1, k) for k in INFO_FLAGS if f"info_{k}" in columns]
+    extra = F.transform(F.array_sort(F.map_entries("info_extra")), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))) if "info_extra" in columns else F.array().cast("array<string>")
+    every = F.concat(F.array_compact(F.array(*typed, *flags)) if typed or flags else F.array().cast("array<string>"), F.coalesce(extra, F.array().cast("array<string>")))
+    return F.when(F.size(every) > 0, F.array_join(every, ";")).otherwise(".")
+
+
 def to_vcf_lines(variants: DataFrame, genotypes: DataFrame, missing: DataFrame, samples: list[str]) -> DataFrame:
-    """chrom, pos and the text line of each variant with GT:GQ:DP:AD of the samples; absent calls are 0/0, missing ones ./. ."""
+    """chrom, pos, ref, alt and the text line of each variant with GT:GQ:DP:AD of the samples; absent calls are 0/0, missing ones ./. ."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     gt = F.when(F.col("gt") == 2, "1/1").when(F.col("gt") == 1, "0/1").otherwise("0/0")
+    if "phased" in genotypes.columns:
+        gt = F.when(F.col("phased") == 1, F.replace(gt, F.lit("/"), F.lit("|"))).otherwise(gt)
     depth = F.when(F.col("ad_ref").isNotNull() & F.col("ad_alt").isNotNull(), F.concat_ws(",", "ad_ref", "ad_alt")).otherwise(".")
     cell = genotypes.where(F.col("sample_id").isin(samples)).select(*KEY, "sample_id", F.concat_ws(":", gt, dot("gq"), dot("dp"), depth).alias("cell"))
     none = missing.where(F.col("sample_id").isin(samples)).select(*KEY, "sample_id", F.lit("./.:.:.:.").alias("cell"))
     cells = cell.unionByName(none).groupBy(*KEY).agg(F.map_from_entries(F.collect_set(F.struct("sample_id", "cell"))).alias("m"))  # one site's samples
     joined = variants.join(cells, KEY, "left")
-    columns = [F.coalesce(F.try_element_at("m", F.lit(s)), F.lit("0/0:.:.:.")) for s in samples]
-    info = F.coalesce(F.concat(F.lit("AF="), F.col("info_AF").cast("string")), F.lit("."))
-    filt = F.coalesce("filter", F.lit("PASS"))
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), filt, info, *((F.lit("GT:GQ:DP:AD"), *columns) if samples else ()))
+    names = F.array(*(F.lit(s) for s in samples)) if samples else F.array().cast("array<string>")
+    told = F.transform(names, lambda s: F.coalesce(F.try_element_at("m", s), F.lit("0/0:.:.:.")))
+    own = lambda c: dot(c) if c in variants.columns else F.lit(".")
+    fixed = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), own("vcf_id"), "ref", "alt", own("qual"), F.coalesce("filter", F.lit("PASS")), _info(variants.columns))
+    line = F.concat_ws("\t", fixed, F.lit("GT:GQ:DP:AD"), F.array_join(told, "\t")) if samples else fixed
     return joined.select("chrom", "pos", "ref", "alt", line.alias("line"))
 
 
 def write_vcf(lines: DataFrame, path: str, samples: list[str]) -> None:
-    """Part files in site order, each with the header of its own."""
+    """Part files in site order (contigs by number, then by name), each with the header of its own."""
     head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO" + ("\tFORMAT\t" + "\t".join(samples) if samples else "")
-    ordered = lines.repartitionByRange("chrom", "pos").sortWithinPartitions(*SITE).select("line")
+    order = contig_order(F.col("chrom"))
+    ordered = lines.repartitionByRange(*order, "pos").sortWithinPartitions(*order, "pos", "ref", "alt").select("line")
 
     def headed(frames):
         first = True

@@ -58,6 +58,32 @@ def test_vcf_export_reads_back(spark, vcf_file, tmp_path):
     pick = lambda x: sorted((r.pos, r.alt, r.sample_id, r.gt) for r in x["genotypes"].collect())
     assert pick(back) == pick(t)
     assert back["missing_genotypes"].count() == 2
+    full = lambda x: sorted(tuple(sorted(r.asDict().items(), key=str)) for r in x["variants"].drop("n_called", "an_called", "ac_called", "info_extra").collect())
+    assert full(back) == full(t)
+    assert {r.pos: r.info_extra for r in back["variants"].collect()} == {r.pos: r.info_extra for r in t["variants"].collect()}
+    assert {(r.pos, r.sample_id): r.phased for r in back["genotypes"].collect()} == {(r.pos, r.sample_id): r.phased for r in t["genotypes"].collect()}
+
+
+def test_export_in_natural_order(spark, tmp_path):
+    sites = spark.createDataFrame([("i", c, p, "A", "C", None) for c in ("chr10", "chrX", "chr2", "chrM") for p in (20, 3)], "ingest_id string, chrom string, pos long, ref string, alt string, filter string")
+    none = spark.createDataFrame([], "ingest_id string, chrom string, pos long, ref string, alt string, sample_id string, gt int, gq int, dp int, ad_ref int, ad_alt int")
+    vcf.write_vcf(vcf.to_vcf_lines(sites, none, none.select(*none.columns[:6]), []).coalesce(1), f"file://{tmp_path}/n", [])
+    found = [tuple(x.split("\t")[:2]) for f in sorted((tmp_path / "n").glob("part*")) for x in f.read_text().splitlines() if not x.startswith("#")]
+    assert found == [(c, p) for c in ("chr2", "chr10", "chrM", "chrX") for p in ("3", "20")]
+
+
+def test_batch_and_checks(spark, vcf_file, tmp_path):
+    (tmp_path / "list.tsv").write_text(f"vcf_path\tingest_id\tcohort\n{vcf_file}\tone\tx\n{vcf_file}\ttwo\n")
+    t = vcf.read_batch(spark, f"file://{tmp_path}/list.tsv")
+    assert {(r.ingest_id, r.cohort) for r in t["ingestions"].collect()} == {("one", "x"), ("two", "default")} and t["variants"].count() == 6
+    (tmp_path / "twice.tsv").write_text(f"{vcf_file}\tone\n{vcf_file}\tone\n")
+    with pytest.raises(ValueError, match="repeated"):
+        vcf.read_batch(spark, f"file://{tmp_path}/twice.tsv")
+    whole = vcf.read_vcf(spark, vcf_file, "i")
+    assert vcf.verified(spark, vcf_file, whole) is whole
+    with pytest.raises(ValueError, match="were read"):
+        vcf.verified(spark, vcf_file, whole | {"variants": whole["variants"].limit(1)})
+    assert {r.field: r.n for r in vcf.clamped(spark, vcf_file).collect()} == {"GQ": 1}
 
 
 def test_side_files(spark, tmp_path):
@@ -102,6 +128,10 @@ def test_follow(spark, tmp_path):
         df.unionByName(df).write.mode("append").parquet(landing)
         follow(spark, landing, target, f"file://{tmp_path}/cp", df.schema, ["ingest_id", "pos"]).awaitTermination(60)
     assert spark.read.parquet(target).count() == 5
+    late = spark.range(10, 12).select(F.lit("a").alias("ingest_id"), F.col("id").alias("pos"))
+    late.write.mode("append").parquet(landing)
+    follow(spark, landing, target, f"file://{tmp_path}/cp", late.schema, ["ingest_id", "pos"]).awaitTermination(60)
+    assert sorted(r.pos for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3, 4, 10, 11]
 
 
 def test_guard(spark):
