@@ -211,12 +211,43 @@ def classified(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("relationship", relationship(F.col("kinship"), F.col("ibs0"), F.col("n_sites"), F.col("het_pair")))
 
 
+def kinship_of(asked: DataFrame, genotypes: DataFrame, missing: DataFrame, samples: DataFrame, sites: DataFrame) -> DataFrame:
+    """As `kinship`, for the pairs (ingest_id, a, b; a < b) that are asked about and known; what is shuffled is the calls of their samples."""
+    known = samples.select("ingest_id", "sample_id").distinct()
+    asked = asked.select("ingest_id", "a", "b").where("a < b").distinct()
+    for s in ("a", "b"):
+        asked = asked.join(known.select("ingest_id", F.col("sample_id").alias(s)), ["ingest_id", s], "left_semi")
+    member = asked.select("ingest_id", "a", "b", F.explode(F.array(F.struct(F.col("a").alias("sample_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("sample_id"), F.lit(1).alias("side")))).alias("m")).select("ingest_id", "a", "b", "m.*")
+    every = _calls(genotypes, missing, sites).where("code is not null").join(small(member), ["ingest_id", "sample_id"])
+    # bits of the codes that each of the two has at a site
+    bits = lambda side: F.bit_or(F.when(F.col("side") == side, F.expr("shiftleft(1, code)")).otherwise(0))
+    at = every.select("ingest_id", "a", "b", "chrom", "pos", "ref", "alt", "side", "code").groupBy("ingest_id", "a", "b", "chrom", "pos", "ref", "alt").agg(bits(0).alias("x"), bits(1).alias("y"))
+    # by site: missing, het and hom of either
+    n = lambda c: F.count_if(F.expr(c))
+    has = lambda v, code: f"({v} & {1 << code}) <> 0"
+    one = lambda v, w: [n(has(v, HET)) - n(f"{has(v, HET)} and {has(w, GONE)}"), n(f"{has(v, HOM)} and {w} = 0")]
+    (het_a, only_a), (het_b, only_b) = one("x", "y"), one("y", "x")
+    met = at.groupBy("ingest_id", "a", "b").agg(n(f"{has('x', GONE)} or {has('y', GONE)}").alias("gone"), n(f"{has('x', HET)} and {has('y', HET)}").alias("hethet"), (only_a + only_b).alias("ibs0"), (het_a + het_b).alias("het_pair"))
+    total = sites.groupBy("ingest_id").agg(F.count("*").alias("total"))
+    out = asked.join(met, ["ingest_id", "a", "b"], "left").join(F.broadcast(total), "ingest_id", "left").fillna(0)
+    return _with_kinship(out.select("ingest_id", "a", "b", F.expr("total - gone").alias("n_sites"), "hethet", "ibs0", "het_pair"))
+
+
+def declared(pedigree: DataFrame) -> DataFrame:
+    """ingest_id, sample_id, role and parent."""
+    each = pedigree.select("ingest_id", "sample_id", F.explode(F.array(F.struct(F.lit("father").alias("role"), F.col("father_id").alias("parent")), F.struct(F.lit("mother").alias("role"), F.col("mother_id").alias("parent")))).alias("x"))
+    return each.select("ingest_id", "sample_id", "x.role", "x.parent").where("parent <> '0'")
+
+
+def declared_pairs(pedigree: DataFrame) -> DataFrame:
+    """The pairs of a sample and its parent, a < b."""
+    return declared(pedigree).select("ingest_id", F.least("sample_id", "parent").alias("a"), F.greatest("sample_id", "parent").alias("b")).distinct()
+
+
 def pedigree_check(pairs: DataFrame, pedigree: DataFrame, samples: DataFrame) -> DataFrame:
     """Each declared parent against the genotypes: ok, mismatch, insufficient data or not genotyped."""
-    declared = pedigree.select("ingest_id", "sample_id", F.explode(F.array(F.struct(F.lit("father").alias("role"), F.col("father_id").alias("parent")), F.struct(F.lit("mother").alias("role"), F.col("mother_id").alias("parent")))).alias("x"))
-    declared = declared.select("ingest_id", "sample_id", "x.role", "x.parent").where("parent <> '0'")
     known = samples.select("ingest_id", F.col("sample_id").alias("parent")).distinct().withColumn("__known", F.lit(True))
     both = classified(pairs).select("ingest_id", F.col("a").alias("__a"), F.col("b").alias("__b"), "relationship")
-    d = declared.join(small(known), ["ingest_id", "parent"], "left").withColumn("__a", F.least("sample_id", "parent")).withColumn("__b", F.greatest("sample_id", "parent")).join(both, ["ingest_id", "__a", "__b"], "left")
+    d = declared(pedigree).join(small(known), ["ingest_id", "parent"], "left").withColumn("__a", F.least("sample_id", "parent")).withColumn("__b", F.greatest("sample_id", "parent")).join(both, ["ingest_id", "__a", "__b"], "left")
     state = F.when(F.col("__known").isNull(), "not genotyped").when(F.col("relationship").isNull() | (F.col("relationship") == "insufficient-data"), "insufficient data").when(F.col("relationship") == "parent-child", "ok").otherwise("mismatch")
     return d.select("ingest_id", "sample_id", "role", "parent", "relationship", state.alias("state"))

@@ -499,7 +499,8 @@ def king_kinship(c: Cohort) -> DataFrame:
 @query(KING_SQL + """SELECT 'i1' AS ingest_id, d.sample_id, role, parent, relationship, CASE WHEN relationship IS NULL OR relationship = 'insufficient-data' THEN 'insufficient data' WHEN relationship = 'parent-child' THEN 'ok' ELSE 'mismatch' END AS state
 FROM (SELECT sample_id, 'father' AS role, father_id AS parent FROM pedigree UNION ALL SELECT sample_id, 'mother', mother_id FROM pedigree) d LEFT JOIN kc ON a = least(d.sample_id, parent) AND b = greatest(d.sample_id, parent)""")
 def pedigree_check(c: Cohort) -> DataFrame:
-    return relatedness.pedigree_check(_kinship(c), c.pedigree, c.samples)
+    asked = relatedness.kinship_of(relatedness.declared_pairs(c.pedigree), c.genotypes, c.missing_genotypes, c.samples, relatedness.usable_sites(c.variants))
+    return relatedness.pedigree_check(asked, c.pedigree, c.samples)
 
 
 POP_SQL = """, sz AS (SELECT super_population AS grp, count(*) AS size FROM samples GROUP BY 1),

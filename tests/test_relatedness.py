@@ -55,3 +55,10 @@ def test_common_and_rare_sites_count_alike(monkeypatch):
         assert sum(len(b) for b in told) == 160
         found.append((tile.same, tile.off))
     assert all(np.array_equal(a, b) for a, b in zip(*found, strict=True))
+
+
+def test_kinship_of_asked_pairs(cohort):
+    calls, gone, known, sites, want = cohort
+    asked = [k for i, k in enumerate(sorted(want)) if i % 4 == 0]
+    pairs = relatedness.kinship_of(calls.sparkSession.createDataFrame([("i", *k) for k in asked] + [("i", "S1", "none")], "ingest_id string, a string, b string"), calls, gone, known, sites)
+    assert {(r.a, r.b): (r.n_sites, r.hethet, r.ibs0, r.het_pair) for r in pairs.collect()} == {k: want[k] for k in asked}
