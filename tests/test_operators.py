@@ -120,3 +120,11 @@ def test_combine_priority_and_consensus(spark):
     assert rows == {1: (2, "Intersection"), 2: (1, "a"), 3: (1, "b")}
     assert [r.pos for r in combine.combine({"a": a, "b": b}, least=2).collect()] == [1]
     assert sorted(r.pos for r in combine.combine({"a": a, "b": b}, pass_only=True).collect()) == [1, 3]
+
+
+def test_short_contigs_are_aligned_together(spark):
+    calls = spark.createDataFrame([(f"c{i}", 6, "CAC", "C") for i in range(40)], "chrom string, pos long, ref string, alt string")
+    found = concord.normalised(calls, spark.createDataFrame([(f"c{i}", "GGACACACTT") for i in range(40)], "chrom string, sequence string"), decompose=False)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"c{i}", 2, "GAC", "G") for i in range(40))
+    # a group for each contig would cost a call of Python each
+    assert "FlatMapCoGroupsInPandas [__group" in found._jdf.queryExecution().toString()
