@@ -73,16 +73,22 @@ def sliding_windows(sites: DataFrame, spans: DataFrame, size: int, step: int, ch
 def nearest_boundary(points: DataFrame, intervals: DataFrame, chrom: str = "chrom", pos: str = "pos", start: str = "start_pos", end: str = "end_pos") -> DataFrame:
     """points with `distance` to the nearest start or end of an interval of their contig, NULL if it has none.
 
-    Boundaries and points are merged in order of position; the last boundary before and the first after are carried
-    by windows, so the plan is one sort a contig.
+    Boundaries and points are merged in order of position within buckets; the last boundary before and the first
+    after are carried by running windows, and into a bucket from those beside it, of which only a row each is sorted.
     """
-    edges = intervals.select(F.col(chrom).alias("__c"), F.explode(F.array(start, end)).alias("__p")).distinct()
+    edges = intervals.select(F.col(chrom).alias("__c"), F.explode(F.array(start, end)).alias("__p"))
     both = points.select(F.col(chrom).alias("__c"), F.col(pos).alias("__p")).distinct().withColumn("__edge", F.lit(False)).unionByName(edges.withColumn("__edge", F.lit(True)))
+    dealt = both.where("__c is not null and __p is not null").withColumn("__bucket", F.floor(F.col("__p") / BUCKET))
+    dealt = dealt.repartition("__c", "__bucket").distinct()
     mark = F.when(F.col("__edge"), F.col("__p"))
-    order = Window.partitionBy("__c").orderBy("__p")
-    before = F.last(mark, True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("__b", before).withColumn("__a", after).where("not __edge")
+    up, down = (Window.partitionBy("__c").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("__bucket"), F.desc("__bucket")))
+    beside = dealt.groupBy("__c", "__bucket").agg(F.min(mark).alias("__first"), F.max(mark).alias("__last"))
+    beside = beside.select("__c", "__bucket", F.max("__last").over(up).alias("__lower"), F.min("__first").over(down).alias("__higher"))
+    # a frame that reaches to the end is computed anew for each row, so the first after is the last of the other order
+    own = Window.partitionBy("__c", "__bucket")
+    before, after = F.max(mark).over(own.orderBy("__p").rangeBetween(Window.unboundedPreceding, 0)), F.min(mark).over(own.orderBy(F.desc("__p")).rangeBetween(Window.unboundedPreceding, 0))
+    near = dealt.withColumn("__b", before).withColumn("__a", after).where("not __edge").join(beside, ["__c", "__bucket"])
+    near = near.select("__c", "__p", F.coalesce("__b", "__lower").alias("__b"), F.coalesce("__a", "__higher").alias("__a"))
     distance = F.least(F.col("__p") - F.col("__b"), F.col("__a") - F.col("__p"))
     return points.join(near.select("__c", "__p", distance.alias("distance")), (F.col(chrom) == F.col("__c")) & (F.col(pos) == F.col("__p")), "left").drop("__c", "__p")
 
